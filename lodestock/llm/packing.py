@@ -4,8 +4,8 @@ A document of n tokens is cut into pieces of `size` tokens and one rest. Full pi
 their own; the rests are packed by their histogram, which has at most `size` - 1 bins whatever the
 corpus: lengths from the longest to the shortest, each into the open patterns with the most room left
 (the shortest packs), a pattern's count being split where fewer documents than packs are left. A pattern
-owns a run of sequence numbers, so what the packing decided is a short list of (length, first rank, 
-many, first sequence, offset) - some thousand rows in all - and a piece finds its place by its rank
+owns a run of sequence numbers, so what the packing decided is a short list of (length, first rank,
+how many, first sequence, offset) - some thousand rows in all - and a piece finds its place by its rank
 among the rests of its length. Ranks come from counts per (part, length), so no task sees all of a length.
 
 Cases: a null text is empty, which is the end id alone; null and repeated doc_ids are kept, each row a
