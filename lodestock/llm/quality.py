@@ -6,7 +6,7 @@ A document's expected grade and its tail probability P(grade >= 2) follow; docum
 probability are rejected.
 
 A text's features are the hashed lower-case words it has (each once), and the shares of its words that
-repeat the one before, stand in capitals, or are runs of symbols. Texts are split and hashed over Arrow
+repeat the one before, stand in capitals, or are odd symbols (runs of them, or others than sentences have). Texts are split and hashed over Arrow
 buffers; a prefix sum of byte times power makes every word's polynomial hash one subtraction.
 
 The model is fitted on at most `most_labels` rated documents (those whose ids hash lowest); all documents
@@ -31,10 +31,14 @@ from lodestock.llm.common import sliced, texts
 BITS = 18
 #: Features with numbers of their own, before the hashed ones.
 SHARES = 3
+#: A share's value for all of the words, where a word that is there has value 1.
+SCALE = 40.0
 #: Rated documents that the model is fitted on, and how many of them must have a word for it to count.
 MOST_LABELS, LEAST_DOCS = 8000, 8
+#: A word counts if the chi-square of its documents over the grades is at least this.
+TELLING = 60.0
 #: A document is kept if P(grade >= 2) is at least this, grades weighing equally in the fit.
-KEEP = 0.5
+KEEP = 0.3
 POWER = 0x9E3779B97F4A7C15
 _INVERSE = pow(POWER, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
@@ -42,6 +46,7 @@ _POWERS: list[np.ndarray] = []
 _WORD, _SYMBOL, _SPACE = 0, 1, 2
 _KIND = np.array([_SPACE if b <= 32 else _WORD if b >= 128 or chr(b).isalnum() else _SYMBOL for b in range(256)], np.uint8)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
+_PLAIN = np.array([chr(b) in ".,;:?!'\"()-" for b in range(256)])
 _CAPITAL = np.array([65 <= b <= 90 for b in range(256)], np.int64)
 
 
@@ -81,11 +86,12 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     shouts = (capitals[end] - capitals[begin] >= 2) & (capitals[end] - capitals[begin] == end - begin)
     repeats = np.r_[False, (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])]
     n = np.maximum(1, np.bincount(doc, minlength=n_docs))
+    odd = (kind == _SYMBOL) & ((end - begin > 1) | ~_PLAIN[data[begin]])
     out_doc, out_slot, out_value = [], [], []
-    for k, flag in enumerate((repeats, shouts, kind == _SYMBOL)):
+    for k, flag in enumerate((repeats, shouts, odd)):
         out_doc.append(np.arange(n_docs))
         out_slot.append(np.full(n_docs, k))
-        out_value.append(np.bincount(doc, flag, n_docs) / n)
+        out_value.append(SCALE * np.bincount(doc, flag, n_docs) / n)
     pair = np.unique((doc << (BITS + 1)) | slot)
     out_doc.append(pair >> (BITS + 1))
     out_slot.append(pair & ((1 << (BITS + 1)) - 1))
@@ -111,17 +117,20 @@ class Ordinal:
         return np.bincount(doc, self.weights[slot] * value, len(at) - 1)
 
 
-def fit_ordinal(doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = 3, ridge: float = 2e-4, steps: int = 250, rate: float = 0.05) -> Ordinal:
+def fit_ordinal(doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = 3, ridge: float = 1e-4, steps: int = 300, rate: float = 0.1) -> Ordinal:
     """Maximum likelihood of the cumulative-link model by Adam over all rows, each grade with equal weight, with a ridge on the weights.
 
     Thresholds are a first one and positive steps from it, so they stay ordered.
     """
-    seen = np.bincount(slot, minlength=SHARES + (1 << BITS)) >= LEAST_DOCS
-    keep = seen[slot] | (slot < SHARES)
+    n, counts = len(grade), np.bincount(grade, minlength=grades)
+    seen = np.stack([np.bincount(slot[grade[doc] == g], minlength=SHARES + (1 << BITS)) for g in range(grades)]).astype(float)
+    expected = seen.sum(0) * (counts / max(1, n))[:, None]
+    telling = np.where(expected > 0, (seen - expected) ** 2 / np.maximum(expected, 1e-9), 0).sum(0) >= TELLING
+    telling &= seen.sum(0) >= LEAST_DOCS
+    telling[:SHARES] = True
+    keep = telling[slot]
     doc, slot, value = doc[keep], slot[keep], value[keep]
     used, slot = np.unique(slot, return_inverse=True)
-    n = len(grade)
-    counts = np.bincount(grade, minlength=grades)
     row_weight = (1 / np.maximum(counts, 1))[grade] / (counts > 0).sum()
     params = np.r_[np.zeros(len(used)), -1.0, np.zeros(grades - 2)]  # the steps are exponentials
     m, v = np.zeros_like(params), np.zeros_like(params)
