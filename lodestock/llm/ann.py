@@ -3,9 +3,11 @@
 Coarse centroids and residual codebooks are fitted by k-means on a bounded sample (`SAMPLE` rows, those
 whose ids hash lowest); every row is then indexed: its list is the nearest centroid's, its code the
 nearest codeword of each part of the residual. A query probes the lists whose centroids have the largest
-inner product with it. Within a list, a table of the query's inner products with all codewords gives each
+inner product with it, as many as hold a set share of the true neighbours of sample rows within the
+sample: few where the vectors form clusters, most where they do not. Within a list, a table of the query's inner products with all codewords gives each
 member's approximate score by look-ups; the best of them are scored anew on the original vectors in
-double precision, and the best of these over all lists are the answer.
+double precision, and the best of these over all lists are the answer. What cannot be among a query's
+best, as the sample alone has enough that are better, is not sent on.
 
 A list may hold a third of all rows, and a third of the queries may probe it: its members and its queries
 are cut into blocks of bounded size, and each pair of blocks is a group of its own.
@@ -31,10 +33,12 @@ from lodestock.llm.common import saved
 
 #: Rows that centroids and codebooks are fitted on.
 SAMPLE = 16_384
-#: Lists: about the root of the rows times this, in [1, MOST_LISTS]; a query probes this share of them, PROBES at least.
-LIST_FACTOR, MOST_LISTS, PROBES, PROBE_SHARE = 1.0, 4096, 16, 0.25
+#: Lists: about the root of the rows times this, in [1, MOST_LISTS]; a query probes PROBES of them at least.
+LIST_FACTOR, MOST_LISTS, PROBES = 1.0, 4096, 8
+#: Share of true neighbours in the sample that the probed lists must hold, and how many sample rows ask.
+HELD, ASKED = 0.96, 512
 #: Parts of a vector that have codebooks of their own, and candidates of each block scored anew.
-PARTS, CODES, RERANK = 16, 256, 100
+PARTS, CODES, RERANK = 16, 256, 40
 #: Members, and queries, of a block.
 MEMBERS, QUERIES = 4096, 1024
 
@@ -121,26 +125,43 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
 
 
-def score_block(coarse: Coarse, centre: int, query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, codes: np.ndarray, x: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best among the members of one block, members in ascending vec_id."""
+def score_block(coarse: Coarse, centre: int, query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, codes: np.ndarray, x: np.ndarray, k: int, rerank: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of each query's k best among the members of one block, in ascending vec_id, that reach the query's floor."""
     table = np.einsum("qpw,pcw->pqc", coarse.split(q.astype(np.float32)), np.where(coarse.books < 1e29, coarse.books, 0))
     near = np.repeat((q.astype(np.float32) @ coarse.centroids[centre])[:, None], len(vec_id), 1)
     for p in range(len(table)):
         near += table[p][:, codes[:, p]]
     near[query_id[:, None] == vec_id[None, :]] = -np.inf
     most = min(rerank, len(vec_id))
-    limits = np.partition(near, len(vec_id) - most, 1)[:, len(vec_id) - most]
-    out = []
-    for r in range(len(query_id)):
-        at = np.flatnonzero(near[r] >= limits[r])
-        if len(at) > most:  # of those at the limit, the smallest ids
-            over = near[r, at] > limits[r]
-            at = np.sort(np.r_[at[over], at[~over][: most - over.sum()]])
-        at = at[near[r, at] > -np.inf]
-        exact = x[at] @ q[r]
-        best = np.lexsort((vec_id[at], -exact))[:k]
-        out.append((np.full(len(best), query_id[r]), vec_id[at[best]], exact[best]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    best = np.sort(np.argpartition(near, len(vec_id) - most, 1)[:, len(vec_id) - most :], 1)
+    limit = np.take_along_axis(near, best, 1).min(1)
+    for r in np.flatnonzero((near >= limit[:, None]).sum(1) > most):  # of those at the limit, the smallest ids
+        at = np.flatnonzero(near[r] >= limit[r])
+        over = near[r, at] > limit[r]
+        best[r] = np.sort(np.r_[at[over], at[~over][: most - over.sum()]])
+    exact = np.einsum("qd,qmd->qm", q, x[best])
+    exact[np.take_along_axis(near, best, 1) == -np.inf] = -np.inf
+    order = np.argsort(-exact, 1, kind="stable")[:, :k]  # best is in the order of ids, so ties keep it
+    score = np.take_along_axis(exact, order, 1)
+    r, c = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+    return query_id[r], vec_id[np.take_along_axis(best, order, 1)[r, c]], score[r, c]
+
+
+def needed_probes(coarse: Coarse, sample: np.ndarray, k: int, held: float = HELD, asked: int = ASKED) -> int:
+    """How many lists, in the order a query probes them, hold the share `held` of the k nearest within the sample."""
+    x = np.unique(sample.astype(np.float32), axis=0)
+    rows = np.random.default_rng(11).permutation(len(x))[:asked]
+    lists = coarse.lists(x)
+    ranks = []
+    for r in rows:
+        score = x @ x[r]
+        score[r] = -np.inf
+        true = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
+        place = np.empty(len(coarse.centroids), np.int64)
+        place[np.argsort(-(coarse.centroids @ x[r]), kind="stable")] = np.arange(len(place))
+        ranks.append(place[lists[true]])
+    ranks = np.sort(np.concatenate(ranks)) if ranks else np.zeros(0, np.int64)
+    return int(ranks[min(len(ranks) - 1, int(held * len(ranks)))]) + 1 if len(ranks) else 1
 
 
 def nearest(table: DataFrame, is_query: str, k: int, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
@@ -153,9 +174,10 @@ def nearest(table: DataFrame, is_query: str, k: int, probes: int | None = None,
         return spark.createDataFrame([], empty)
     rows, total = vectors.filter(F.octet_length("vec") == widths[0].w), widths[0].n
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    coarse = fit(_matrix(sample["vec"]), int(max(1, min(MOST_LISTS, LIST_FACTOR * total**0.5))))
+    sample_id, sample_x = np.asarray(sample["vec_id"]), _matrix(sample["vec"])
+    coarse = fit(sample_x, int(max(1, min(MOST_LISTS, LIST_FACTOR * total**0.5))))
     lists = len(coarse.centroids)
-    probes = probes or max(PROBES, int(PROBE_SHARE * lists))
+    probes = probes or max(PROBES, needed_probes(coarse, sample_x, k))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,14 +195,20 @@ def nearest(table: DataFrame, is_query: str, k: int, probes: int | None = None,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = _matrix(batch.column(1)).astype(np.float32) @ coarse.centroids.T
+            q, own = _matrix(batch.column(1)), np.asarray(batch.column(0))
+            floor = np.full(len(q), -np.inf)
+            for at in range(0, len(q) if len(sample_x) > k else 0, 256):
+                known = q[at : at + 256] @ sample_x.T
+                known[own[at : at + 256, None] == sample_id[None, :]] = -np.inf
+                floor[at : at + 256] = np.partition(known, len(sample_x) - k, 1)[:, len(sample_x) - k] - 1e-9
+            near = q.astype(np.float32) @ coarse.centroids.T
             order = np.argsort(-near, 1, kind="stable")
             before = np.cumsum(counts[order], 1) - counts[order]
             probed = (np.arange(lists)[None, :] < probes) | (before <= 4 * k)
             r, c = np.nonzero(probed & (counts[order] > 0))
-            yield pa.RecordBatch.from_pydict({"list": pa.array(order[r, c]), "query_id": batch.column(0).take(pa.array(r)), "vec": batch.column(1).take(pa.array(r))})
+            yield pa.RecordBatch.from_pydict({"list": pa.array(order[r, c]), "query_id": batch.column(0).take(pa.array(r)), "vec": batch.column(1).take(pa.array(r)), "floor": pa.array(floor[r])})
 
-    asked = saved(rows.filter(is_query).mapInArrow(route, "list long, query_id long, vec binary"), "probes")
+    asked = saved(rows.filter(is_query).mapInArrow(route, "list long, query_id long, vec binary, floor double"), "probes")
     plan = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("long").alias("nq"))
     plan = F.broadcast(plan.join(F.broadcast(spark.createDataFrame([(c, -(-n // MEMBERS)) for c, n in held.items()], "list long, nm long")), "list"))
     key = ["list", "m", "q"]
@@ -192,7 +220,7 @@ def nearest(table: DataFrame, is_query: str, k: int, probes: int | None = None,
         if left.num_rows and right.num_rows:
             left = left.sort_by("vec_id")
             codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(left.num_rows, -1)
-            out = score_block(coarse, left["list"][0].as_py(), np.asarray(right["query_id"]), _matrix(right["vec"]), np.asarray(left["vec_id"]), codes, _matrix(left["vec"]), k, rerank)
+            out = score_block(coarse, left["list"][0].as_py(), np.asarray(right["query_id"]), _matrix(right["vec"]), np.asarray(left["vec_id"]), codes, _matrix(left["vec"]), k, rerank, np.asarray(right["floor"]))
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     found = members.groupBy(key).cogroup(asked.groupBy(key)).applyInArrow(search, "query_id long, vec_id long, score double")
