@@ -39,7 +39,7 @@ BUCKET = 2000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: runs of bytes other than space and \\x09-\\x0D, counted over Arrow buffers."""
+    """doc_id, source, text_hash, size: runs of bytes other than space and \\x09-\\x0D, counted over Arrow buffers."""
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -53,10 +53,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             begins[first] = word[first]
             total = np.zeros(len(data) + 1, np.int64)
             np.cumsum(begins, out=total[1:])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "source": batch.column(1), "size": pa.array(total[at[1:]] - total[at[:-1]])})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "source": batch.column(1), "text_hash": batch.column(3), "size": pa.array(total[at[1:]] - total[at[:-1]])})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, source string, size long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(count, "doc_id long, source string, text_hash long, size long")
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -148,26 +148,26 @@ def schedule(spark: SparkSession, p: dict) -> DataFrame:
     return spark.range(0, chunks + 1, 1, max(1, min(chunks + 1, 4096))).mapInArrow(make, "slot long, source_no long, pass long, block long, words long")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, taken."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """Per row of docs: doc_id, text_hash (XXH64 of the text), size, source_size, target, taken."""
     spark = docs.sparkSession
     sizes = saved(word_counts(docs), "sizes")
     by = {r.source: (r.size or 0, r.n) for r in sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toLocalIterator()}
     order = sorted(by, key=lambda s: (s is None, s or ""))
     own = [by[s][0] for s in order]
-    goals = targets(own)
+    goals = targets(own, weights, share)
     n_docs, n_words = sum(n for _, n in by.values()), sum(own)
-    block = max(1, min(BLOCK, int(SHARE * n_words) // SLOTS))
+    block = max(1, min(BLOCK, int(share * n_words) // SLOTS))
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
     facts = spark.createDataFrame([("-" if s is None else "+" + s, k, own[k], goals[k], by[s][1]) for k, s in enumerate(order)], "key string, source_no long, source_size long, target double, n long")
     hashed = F.xxhash64("doc_id", "size", F.lit("mix"))
     many = max(1, min(1 << 24, -(-n_docs // BUCKET)))
     placed = join_skewed(sizes.withColumn("key", key), facts, "key", "n", n_docs).select(
-        "doc_id", "size", "source_no", "source_size", "target", hashed.alias("hash"), F.shiftright(F.shiftrightunsigned(hashed, 40) * F.lit(many), 24).alias("bucket")
+        "doc_id", "text_hash", "size", "source_no", "source_size", "target", hashed.alias("hash"), F.shiftright(F.shiftrightunsigned(hashed, 40) * F.lit(many), 24).alias("bucket")
     )
     sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
     before = sums.select("source_no", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("hash", "doc_id", "size")
+    inside = Window.partitionBy("source_no", "bucket").orderBy("hash", "doc_id", "size", "text_hash")
     rows = placed.withColumn("nth", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = saved(rows.join(before, ["source_no", "bucket"]).withColumn("begin", F.col("before") + F.col("upto") - F.col("size")).drop("hash", "before", "upto"), "mix-rows")
     last = F.expr(f"(begin + size - 1) div {block}")
@@ -176,8 +176,46 @@ def mix(docs: DataFrame) -> DataFrame:
     low = F.greatest(F.col("begin"), F.col("block") * block)
     high = F.least(F.col("begin") + F.col("size"), F.col("block") * block + F.col("words"))
     taken = cut.join(slots, ["source_no", "block"]).groupBy("source_no", "bucket", "nth").agg(F.sum(F.greatest(F.lit(0), high - low)).alias("taken"))
-    return rows.join(taken, ["source_no", "bucket", "nth"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken, ["source_no", "bucket", "nth"], "left").select("doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs as the mix takes them, with their columns: whole as often as it is taken whole, then the first words of a rest.
+
+    n_chars, where there is one, is counted anew in such a rest.
+    """
+    taken = mix(docs).groupBy("doc_id", "text_hash").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken")).filter("_taken > 0")
+    taken = taken.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    own = docs.withColumn("_key", F.xxhash64("text"))
+    rows = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash"))).drop("_id", "_hash")
+    # rows that repeat are one row taken more often
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("doc_id", "_key"))).filter("_nth = 1")
+    names = docs.columns
+
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            size, taken = (np.asarray(batch.column(batch.schema.get_field_index(n))) for n in ("_size", "_taken"))
+            batch = batch.select(names)
+            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), taken // size)))
+            part = np.flatnonzero(taken % size)
+            if len(part):
+                cut = batch.take(pa.array(part))
+                at = cut.schema.get_field_index("text")
+                found = [first_words(t, int(n)) for t, n in zip(cut.column(at).to_pylist(), taken[part] % size[part], strict=True)]
+                cut = cut.set_column(at, cut.schema.field(at), pa.array(found, cut.schema.field(at).type))
+                if "n_chars" in names:
+                    at = cut.schema.get_field_index("n_chars")
+                    cut = cut.set_column(at, cut.schema.field(at), pa.array(list(map(len, found)), cut.schema.field(at).type))
+                yield cut
+
+    return rows.select(*names, "_size", "_taken").mapInArrow(repeat, docs.schema)
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    rest = text.encode().split(None, n)
+    return text.encode()[: len(text.encode()) - len(rest[n])].decode().rstrip(" \t\n\r\x0b\x0c") if len(rest) > n else text
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestock.llm.common import join_skewed, saved, shuffle_parts, sliced, strings
@@ -299,5 +299,16 @@ def _index_links(found: DataFrame, masks: list[int], most: int) -> DataFrame:
     return paired.repartition(shuffle_parts(found.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(search, "u long, v long")
 
 
+def one_of_each(docs: DataFrame, words: int = 5, most: int = MOST) -> DataFrame:
+    """The rows of docs that are the first of their component, with their columns; of rows that repeat a doc_id one.
+
+    Rows with a null doc_id stay.
+    """
+    found = simhash_components(docs, words, most).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    rows = docs.join(found, F.col("doc_id").cast("long") == F.col("_first"))
+    nth = F.row_number().over(Window.partitionBy("_first").orderBy("_first", F.xxhash64("text")))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
