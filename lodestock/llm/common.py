@@ -118,3 +118,14 @@ def nonnull(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+
+
+def get_file(uri: str) -> bytes | None:
+    """A file that put_file wrote, or None if there is none."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(path) as data:
+        return data.read()

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestock.llm.common import sliced, texts
+from lodestock.llm.rolling import mixed, powers, prefix_sums
 
 BITS = 18
 #: Features with numbers of their own, before the hashed ones.
@@ -39,9 +40,6 @@ MOST_LABELS, LEAST_DOCS = 8000, 8
 TELLING = 60.0
 #: A document is kept if P(grade >= 2) is at least this, grades weighing equally in the fit.
 KEEP = 0.3
-POWER = 0x9E3779B97F4A7C15
-_INVERSE = pow(POWER, -1, 1 << 64)
-_POWERS: list[np.ndarray] = []
 
 _WORD, _SYMBOL, _SPACE = 0, 1, 2
 _KIND = np.array([_SPACE if b <= 32 else _WORD if b >= 128 or chr(b).isalnum() else _SYMBOL for b in range(256)], np.uint8)
@@ -50,13 +48,6 @@ _PLAIN = np.array([chr(b) in ".,;:?!'\"()-" for b in range(256)])
 _CAPITAL = np.array([65 <= b <= 90 for b in range(256)], np.int64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        _POWERS[:] = [np.cumprod(np.full(size, p, np.uint64)) for p in (POWER, _INVERSE)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, feature, value) of texts that lie in a row, sorted by document and feature."""
     n_docs = len(at) - 1
@@ -73,13 +64,9 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(begin):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     doc = np.searchsorted(at, begin, "right") - 1
-    power, inverse = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * power, out=total[1:])
-    h = (total[end] - total[begin]) * inverse[begin]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+    power, inverse = powers(len(data))
+    total = prefix_sums(_LOWER[data], power)
+    h = mixed((total[end] - total[begin]) * inverse[begin])
     slot = (h >> np.uint64(64 - BITS)).astype(np.int64) + SHARES
     capitals = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_CAPITAL[data], out=capitals[1:])
