@@ -179,6 +179,28 @@ def nearest(table: DataFrame, is_query: str, k: int, probes: int | None = None,
     lists = len(coarse.centroids)
     probes = probes or max(PROBES, needed_probes(coarse, sample_x, k))
 
+    def in_sample(q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of each query's best in the sample: k of them, or all."""
+        best, scores = [], []
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            known = part @ sample_x.T
+            known[own[at : at + 256, None] == sample_id[None, :]] = -np.inf
+            rows = np.argpartition(-known, min(k, len(sample_x)) - 1, 1)[:, :k]
+            exact = np.einsum("qd,qmd->qm", part, sample_x[rows])
+            exact[np.take_along_axis(known, rows, 1) == -np.inf] = -np.inf
+            best.append(sample_id[rows])
+            scores.append(exact)
+        return np.concatenate(best), np.concatenate(scores)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = np.asarray(batch.column(0))
+                ids, scores = in_sample(_matrix(batch.column(1)), own)
+                r, c = np.nonzero(scores > -np.inf)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(own[r]), "vec_id": pa.array(ids[r, c]), "score": pa.array(scores[r, c])})
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -196,11 +218,7 @@ def nearest(table: DataFrame, is_query: str, k: int, probes: int | None = None,
             if not batch.num_rows:
                 continue
             q, own = _matrix(batch.column(1)), np.asarray(batch.column(0))
-            floor = np.full(len(q), -np.inf)
-            for at in range(0, len(q) if len(sample_x) > k else 0, 256):
-                known = q[at : at + 256] @ sample_x.T
-                known[own[at : at + 256, None] == sample_id[None, :]] = -np.inf
-                floor[at : at + 256] = np.partition(known, len(sample_x) - k, 1)[:, len(sample_x) - k] - 1e-9
+            floor = in_sample(q, own)[1].min(1) - 1e-9 if len(sample_x) > k else np.full(len(q), -np.inf)
             near = q.astype(np.float32) @ coarse.centroids.T
             order = np.argsort(-near, 1, kind="stable")
             before = np.cumsum(counts[order], 1) - counts[order]
@@ -224,6 +242,8 @@ def nearest(table: DataFrame, is_query: str, k: int, probes: int | None = None,
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     found = members.groupBy(key).cogroup(asked.groupBy(key)).applyInArrow(search, "query_id long, vec_id long, score double")
+    # the sample's best are candidates too: no query is left with fewer than k
+    found = found.unionByName(rows.filter(is_query).mapInArrow(known, found.schema)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -40,3 +40,11 @@ def test_few_rows(spark):
     assert got == [(0, 1, 1, 3.0), (0, 2, 2, 3.0)]
     assert nearest(df.limit(0), "vec_id % 20 = 0", 20).count() == 0
     assert nearest(df.limit(1), "vec_id % 20 = 0", 20).count() == 0
+
+
+def test_every_query_gets_all_it_asked_for(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])], "vec_id long, embedding array<float>")
+    got = nearest(df, "vec_id % 20 = 0", 20, probes=3).groupBy("query_id").count().collect()
+    assert len(got) == 150 and all(r["count"] == 20 for r in got)
