@@ -47,7 +47,7 @@ WINDOW, GRAM = 200, 64
 #: Distances from a window's start to its anchor.
 SPREAD = WINDOW - GRAM
 #: Bytes of text hashed at a time; items of one sorted run; rows sampled for splitters.
-SLICE, RUN, SAMPLED = 2 << 20, 100_000, 20_000
+SLICE, RUN, SAMPLED = 1 << 20, 40_000, 20_000
 #: Items a range of the merge should have at least.
 RANGE = 2000
 LOW = np.uint64((1 << 24) - 1)
@@ -497,7 +497,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=8 << 20):
             data, at = texts(batch)
             removed, spans, kept = [], [], []
             for k, (part, uid) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
