@@ -238,7 +238,8 @@ def maximize(lik: Likelihood, start: np.ndarray | None = None, most: int = 300,
     now = lik.evaluate(theta)
     trace, damp, relative, decrement, done, k = [(theta, now.neg2logl)], 1e-3, np.inf, np.inf, False, 0
     floor = 1e-10 * lik.spread()
-    while k < most and not done:
+    stalled = 0
+    while k < most and not done and stalled < 25:
         k += 1
         candidate = None
         if k > warm:
@@ -248,7 +249,7 @@ def maximize(lik: Likelihood, start: np.ndarray | None = None, most: int = 300,
             values, vectors = np.linalg.eigh(info)
             safe = np.maximum(values, 1e-9 * max(values.max(), 1e-300))
             decrement = float(((vectors.T @ now.score[free]) ** 2 / safe).sum())
-            for _ in range(30):
+            for _ in range(12):
                 step = np.zeros(len(theta))
                 step[free] = -np.linalg.solve(vectors @ np.diag(safe) @ vectors.T + damp * np.diag(np.maximum(np.diag(info), 1e-300)), now.score[free])
                 for part in (1.0, 0.5, 0.25):
@@ -260,10 +261,14 @@ def maximize(lik: Likelihood, start: np.ndarray | None = None, most: int = 300,
                     damp = max(damp / 10, 1e-10)
                     break
                 damp *= 10
+            if candidate is None and decrement < 2e-4:  # nothing better within rounding of the value
+                relative, done = 0.0, True
+                break
         if candidate is None:
             candidate = now.em if lik.valid(now.em) else now.theta
         relative = float(np.abs(candidate - now.theta).max() / max(np.abs(now.theta).max(), 1e-300))
-        now = lik.evaluate(candidate)
+        last, now = now.neg2logl, lik.evaluate(candidate)
+        stalled = stalled + 1 if now.neg2logl > last - 1e-9 else 0
         trace.append((candidate, now.neg2logl))
         done = k > warm and relative < tolerance
     return Walk(now, bool(done and decrement < 2e-4), k, decrement, relative, trace)
