@@ -209,7 +209,9 @@ def geweke_z(x: np.ndarray, first: float = 0.1, last: float = 0.5) -> float:
 def heidelberger_welch(x: np.ndarray, steps: int = 10) -> tuple[bool, int]:
     """(stationary, draws to drop): the Cramer-von Mises test at 5 per cent on ever shorter chains."""
     n = len(x)
-    density = np.var(x[n // 2 :], ddof=1) * (n - n // 2) / ess(x[n // 2 :])
+    half = x[n // 2 :] - x[n // 2 :].mean()
+    rho = float(half[1:] @ half[:-1] / max(half @ half, 1e-300))
+    density = np.var(half, ddof=1) * (1 + rho) / max(1 - rho, 1e-6)  # at frequency zero, of a first-order autoregression
     for k in range(steps // 2 + 1):
         y = x[k * n // steps :]
         bridge = (np.cumsum(y) - np.arange(1, len(y) + 1) * y.mean()) / math.sqrt(len(y) * density)
