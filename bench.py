@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-NAMES = ["thi", "qc_fences", "qc_fence_by", "qc_small_classes", "robust_scale", "ped_generation", "a_inverse_dam", "a_inverse_inbred", "snp_freq", "animal_call_rate", "parentage", "g05_diagonal", "blup_random_intercept", "xtx", "fixed_means", "residuals", "reml_components", "rank_drift", "selection_index", "rhat_classic"]
+NAMES = ["thi", "qc_fences", "qc_fence_by", "qc_small_classes", "robust_scale", "a_inverse_dam", "snp_freq", "animal_call_rate", "parentage", "blup_random_intercept", "xtx", "fixed_means", "residuals", "reml_components", "rank_drift", "selection_index", "rhat_classic"]
 
 
 def main() -> None:
