@@ -22,6 +22,7 @@ an empty table gives no row; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -246,11 +247,12 @@ def _neighbour_links(nodes: DataFrame, most: int) -> DataFrame:
     return ranked.repartitionByRange(shuffle_parts(nodes.sparkSession), "turn", "rank").sortWithinPartitions("turn", "rank").mapInArrow(link, "u long, v long")
 
 
-def _index_links(found: DataFrame, masks: list[int], most: int) -> DataFrame:
-    """u, v: links between components, found below the patterns of the masks."""
+def _index_links(found: DataFrame, masks: list[int], most: int, pairs: bool = False) -> DataFrame:
+    """u, v: links between components, found below the patterns of the masks; with pairs, every near pair of nodes of two components."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(k).cast("long").alias("mask"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(signed)])
-    rows = found.select("print", "component", F.explode(keys).alias("key")).select("print", "component", "key.mask", "key.bits")
+    kept = ["print", "component", *(["node"] if pairs else [])]
+    rows = found.select(*kept, F.explode(keys).alias("key")).select(*kept, "key.mask", "key.bits")
     # patterns with many fingerprints: chunks of each component that alone has many, and chunks of the rest
     full = rows.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select("mask", "bits")
     parts = rows.join(full, ["mask", "bits"], "left_semi").groupBy("mask", "bits", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -267,16 +269,21 @@ def _index_links(found: DataFrame, masks: list[int], most: int) -> DataFrame:
         case when parts is null then array(0L)
              else filter(sequence(0L, aggregate(parts, 0L, (a, p) -> a + p.chunks) - 1),
                          c -> parts[place].alone is null or c < first or c >= upto) end"""))
-    paired = wide.select("print", "component", "mask", "bits", F.coalesce("own", F.lit(0)).alias("own"), F.explode("others").alias("other"))
-    paired = paired.select("print", "component", "mask", "bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    paired = wide.select(*kept, "mask", "bits", F.coalesce("own", F.lit(0)).alias("own"), F.explode("others").alias("other"))
+    paired = paired.select("print", "component", "mask", "bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *kept[2:])
+    of_mask = np.array(masks, np.uint64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def links(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            key = np.stack(cols[2:])
+            key = np.stack(cols[2:6])
             group = np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(0)])
-            u, v = forest_links(group, cols[0].view(np.uint64), cols[1], most)
+            if pairs:
+                order = np.argsort(of_mask)
+                u, v = near_pairs(group, cols[0].view(np.uint64), cols[1], cols[6], order[np.searchsorted(of_mask[order], cols[2].view(np.uint64))], of_mask, most)
+            else:
+                u, v = forest_links(group, cols[0].view(np.uint64), cols[1], most)
             return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
 
         for batch in batches:
@@ -284,7 +291,7 @@ def _index_links(found: DataFrame, masks: list[int], most: int) -> DataFrame:
             if sum(len(h[0]) for h in held) < 1 << 16:
                 continue
             cols = tuple(np.concatenate(c) for c in zip(*held, strict=True))
-            key = np.stack(cols[2:])
+            key = np.stack(cols[2:6])
             ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
             if len(ends):  # the last group may go on in the next batch
                 cut = int(ends[-1]) + 1
@@ -299,15 +306,102 @@ def _index_links(found: DataFrame, masks: list[int], most: int) -> DataFrame:
     return paired.repartition(shuffle_parts(found.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(search, "u long, v long")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, most: int = MOST) -> DataFrame:
-    """The rows of docs that are the first of their component, with their columns; of rows that repeat a doc_id one.
+def radius(similarity: float) -> int:
+    """The bits of 64 in which the fingerprints of texts of this Jaccard similarity differ on average: an angle's share of a half turn."""
+    return round(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def word_key(text: str) -> int:
+    """A signed 64-bit number of the words of a text."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(text.encode().lower().split()))).view(np.int64))
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    found = text.encode().lower().split()
+    runs = {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
+    return np.sort(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64))
+
+
+def near_pairs(group: np.ndarray, prints: np.ndarray, component: np.ndarray, node: np.ndarray, at_mask: np.ndarray, masks: np.ndarray, most: int, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of different components at `most` bits or fewer, each below the first of the masks under which it agrees."""
+    index = GrayIndex(group, prints)
+    same, node, at_mask = np.unique(component, return_inverse=True)[1][index.order], node[index.order], at_mask[index.order]
+    uniform, cost = index.uniform(same), np.cumsum(np.bincount(index.roots)[index.roots])
+    at, out = 0, [np.zeros((2, 0), np.int64)]
+    while at < len(prints):
+        end = max(at + 1, int(np.searchsorted(cost, cost[at] + step)))
+        i, j = index.near(np.arange(at, end), most, same, uniform)
+        apart, keep = index.prints[i] ^ index.prints[j], np.ones(len(i), bool)
+        for k, mask in enumerate(masks):
+            keep &= ((apart & mask) != 0) | (at_mask[i] <= k)
+        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])[:, keep])
+        at = end
+    both = np.concatenate(out, axis=1)
+    return both[0], both[1]
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v: keys of nodes) whose texts' sets of shingles have this Jaccard similarity or more: the exact check."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, most=4 << 20):
+            found = strings(batch)
+            yield pa.RecordBatch.from_pydict({"key": pa.array([word_key(t) for t in found], pa.int64()), "had": pa.array([shingle_set(t, words).tobytes() for t in found], pa.binary())})
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                keep.append(both >= similarity * (len(x) // 8 + len(y) // 8 - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = saved(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = wanted.join(nodes, "node").select(F.col("first").alias("doc_id"), "node")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    had = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, "key long, had binary")
+    had = saved(had.join(wanted.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    of = lambda name: had.select(F.col("key").alias(name), F.col("had").alias("had_" + name))
+    return saved(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "had_u", "had_v").mapInArrow(check, "u long, v long"), "similar")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """node (key of a text's words), first (its smallest doc_id), component: groups linked at this Jaccard similarity or more.
+
+    Candidates are found by SimHash below radius(similarity) and checked on their whole sets of shingles.
+    Neighbours in Gray order are checked first; the index then leaves out pairs that these have joined.
+    """
+    most = radius(similarity)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, most=4 << 20):
+            found = strings(batch)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array([word_key(t) for t in found], pa.int64()), "print": pa.array(fingerprints(found, words).view(np.int64))})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    nodes = saved(rows.mapInArrow(hashed, "doc_id long, node long, print long").groupBy("node", "print").agg(F.min("doc_id").alias("first")), "nodes")
+    links = similar(docs, nodes, _neighbour_links(nodes, most), words, similarity)
+    near = components(links)
+    found = saved(nodes.select("node", "print").join(near, "node", "left").withColumn("component", F.coalesce("component", "node")), "merged")
+    more = similar(docs, nodes, _index_links(found, patterns(nodes.count(), most), most, pairs=True), words, similarity)
+    last = components(links.unionByName(more))
+    return nodes.join(last, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that are the first of their group (similar_groups), with their columns; of rows that repeat a doc_id one.
 
-    Rows with a null doc_id stay.
+    Texts without words are one group. Rows with a null doc_id stay.
     """
-    found = simhash_components(docs, words, most).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    rows = docs.join(found, F.col("doc_id").cast("long") == F.col("_first"))
-    nth = F.row_number().over(Window.partitionBy("_first").orderBy("_first", F.xxhash64("text")))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    first, at = "_first", "_nth"
+    while {first, at} & {c.lower() for c in docs.columns}:  # names that docs has not
+        first, at = "_" + first, "_" + at
+    found = similar_groups(docs, words, similarity).groupBy("component").agg(F.min("first").alias(first)).select(first).distinct()
+    rows = docs.join(found, F.col("doc_id").cast("long") == F.col(first))
+    nth = F.row_number().over(Window.partitionBy(first).orderBy(first, F.xxhash64("text")))
+    return rows.withColumn(at, nth).filter(F.col(at) == 1).select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from lodestock.llm.components import components
-from lodestock.llm.simhash import CHUNK, GrayIndex, fingerprints, forest_links, gray_rank, patterns, simhash_components
+from lodestock.llm.simhash import CHUNK, GrayIndex, fingerprints, forest_links, gray_rank, one_of_each, patterns, radius, similar_groups, simhash_components
 
 
 def slow_print(text, words=4):
@@ -98,3 +98,54 @@ def test_documents(spark, monkeypatch):
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got if r.doc_id is not None) == want
     assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted(["None", str(dict((p, c) for _, p, c in want)[f"{prints[0]:016x}"])])
     assert simhash_components(docs.limit(0)).count() == 0
+
+
+def slow_groups(texts, words=5, similarity=0.8):
+    """Groups by brute force: pairs within the radius whose sets of shingles are similar, and equal texts."""
+    prints, sets = [slow_print(t, words) for t in texts], []
+    for t in texts:
+        found = t.encode().lower().split()
+        sets.append({b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= radius(similarity)
+            if near and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def test_radius():
+    assert radius(0.8) == 10 and radius(1.0) == 0
+
+
+def test_similar_groups(spark, monkeypatch):
+    monkeypatch.setattr("lodestock.llm.simhash.CHUNK", 16)  # so that patterns are cut into chunks
+    rng = random.Random(4)
+    texts = [None, "", " \t", "one", "One", "a b c", "A  b C"]
+    for _ in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 60, 200, 400]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 9])):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+    base = [f"h{rng.randrange(3000)}" for _ in range(150)]
+    for k in range(80):  # a third of all rows are near copies of one text
+        copy = list(base)
+        copy[k], copy[149 - k // 2] = "x", f"y{k}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[3])], "doc_id long, text string")
+    want = slow_groups([t or "" for t in texts])
+    assert len(set(want)) < len(texts) - 100
+    got = {}
+    for r in similar_groups(docs).collect():
+        got.setdefault(r.component, []).append(r.first)
+    kept = sorted(map(min, got.values()))
+    assert kept == sorted(set(want))
+    out = one_of_each(docs.withColumn("first", docs.text).withColumn("_first", docs.text).withColumn("_nth", docs.text)).collect()
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == kept and sum(r.doc_id is None for r in out) == 1
+    assert all(r.text == r.first for r in out)
+    assert similar_groups(docs.limit(0)).count() == 0
