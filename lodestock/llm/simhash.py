@@ -303,7 +303,14 @@ def _index_links(found: DataFrame, masks: list[int], most: int, pairs: bool = Fa
             yield links(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
     key = ["mask", "bits", "a", "b"]
-    return paired.repartition(shuffle_parts(found.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(search, "u long, v long")
+    if pairs:  # what follows from other columns is not exchanged
+        paired = paired.withColumn("component", F.when(F.col("component") != F.col("node"), F.col("component"))).drop("bits")
+        bits = F.col("print").bitwiseAND(F.col("mask"))
+        sent = paired.repartition(shuffle_parts(found.sparkSession), "mask", bits, "a", "b").withColumn("bits", bits)
+        sent = sent.select("print", F.coalesce("component", "node").alias("component"), *key, "node")
+    else:
+        sent = paired.repartition(shuffle_parts(found.sparkSession), *key)
+    return sent.sortWithinPartitions(*key).mapInArrow(search, "u long, v long")
 
 
 def radius(similarity: float) -> int:
