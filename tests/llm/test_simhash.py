@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from lodestock.llm.components import components
-from lodestock.llm.simhash import CHUNK, GrayIndex, fingerprints, forest_links, gray_rank, one_of_each, patterns, radius, similar_groups, simhash_components
+from lodestock.llm.simhash import CHUNK, GrayIndex, fingerprints, forest_links, gray_rank, jaccard_groups, one_of_each, patterns, radius, shingle_set, similar_groups, simhash_components
 
 
 def slow_print(text, words=4):
@@ -149,3 +149,36 @@ def test_similar_groups(spark, monkeypatch):
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == kept and sum(r.doc_id is None for r in out) == 1
     assert all(r.text == r.first for r in out)
     assert similar_groups(docs.limit(0)).count() == 0
+
+
+def test_jaccard_groups_take_all_similar_pairs(spark, monkeypatch):
+    """Held against a brute force on Jaccard alone: pairs at 0.8 or more, none of which another link repairs."""
+    monkeypatch.setattr("lodestock.llm.simhash.CHUNK", 16)
+    rng = random.Random(8)
+    texts = ["", "one", "a b c"]
+    for _ in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        copy = list(base)
+        for at in rng.sample(range(5, 195, 8), rng.choice([2, 3, 4, 5])):
+            copy[at] = "x"
+        texts += [" ".join(base), " ".join(copy)]
+    base = [f"h{rng.randrange(3000)}" for _ in range(150)]
+    for k in range(150):  # a third of all rows are near copies of one text
+        copy = list(base)
+        copy[k], copy[149 - k // 2] = "x", f"y{k}"
+        texts.append(" ".join(copy))
+    sets = [set(shingle_set(t, 5).tolist()) for t in texts]
+    label, apart = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+                apart += (slow_print(texts[i], 5) ^ slow_print(texts[j], 5)).bit_count() > radius(0.8)
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert apart > 20
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[4]), (None, texts[3])], "doc_id long, text string")
+    docs = docs.filter("doc_id is null or doc_id != 3 or text = '" + texts[3] + "'")
+    out = one_of_each(docs, groups=jaccard_groups).collect()
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(set(label)) and sum(r.doc_id is None for r in out) == 1
+    assert sorted(r.doc_id for r in one_of_each(docs).collect() if r.doc_id is not None) != sorted(set(label))
+    assert jaccard_groups(docs.limit(0)).count() == 0
