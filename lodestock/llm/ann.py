@@ -5,8 +5,9 @@ whose ids hash lowest); every row is then indexed: its list is the nearest centr
 nearest codeword of each part of the residual. A query probes the lists whose centroids have the largest
 inner product with it, as many as hold a set share of the true neighbours of sample rows within the
 sample: few where the vectors form clusters, most where they do not. Within a list, a table of the query's inner products with all codewords gives each
-member's approximate score by look-ups; the best of them are scored anew on the original vectors in
-double precision, and the best of these over all lists are the answer. What cannot be among a query's
+member's approximate score by look-ups; every member whose approximate score and what its code leaves of it
+can reach the query's best is scored anew on the original vectors in double precision, and the best of
+these over all lists are the answer. What cannot be among a query's
 best, as the sample alone has enough that are better, is not sent on.
 
 A list may hold a third of all rows, and a third of the queries may probe it: its members and its queries
@@ -37,7 +38,7 @@ SAMPLE = 16_384
 LIST_FACTOR, MOST_LISTS, PROBES = 1.0, 4096, 8
 #: Share of true neighbours in the sample that the probed lists must hold, and how many sample rows ask.
 HELD, ASKED = 0.96, 512
-#: Parts of a vector that have codebooks of their own, and candidates of each block scored anew.
+#: Parts of a vector that have codebooks of their own, and candidates of each block that are scored anew first.
 PARTS, CODES, RERANK = 16, 256, 40
 #: Members, and queries, of a block.
 MEMBERS, QUERIES = 4096, 1024
@@ -62,6 +63,12 @@ class Coarse:
         return np.stack([_nearest(rest[:, p], self.books[p]) for p in range(len(self.books))], 1).astype(np.uint8)
 
 
+    def decoded(self, centre: int, codes: np.ndarray) -> np.ndarray:
+        """What the codes of members of a list stand for, split into parts."""
+        own = np.stack([self.books[p][codes[:, p]] for p in range(len(self.books))], 1)
+        return self.split(self.centroids[centre][None, :]) + own
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray, step: int = 4096) -> np.ndarray:
     half = (centres * centres).sum(1) / 2
     return np.concatenate([np.argmax(x[k : k + step] @ centres.T - half, 1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
@@ -126,25 +133,36 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def score_block(coarse: Coarse, centre: int, query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, codes: np.ndarray, x: np.ndarray, k: int, rerank: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best among the members of one block, in ascending vec_id, that reach the query's floor."""
+    """(query_id, vec_id, score) of each query's k best among the members of one block, in ascending vec_id, that reach the query's floor.
+
+    A member's score lies within |query| * |what its code leaves of it| of the approximate one (Cauchy-Schwarz).
+    The `rerank` best by the upper bound are scored exactly, then all others whose upper bound reaches the
+    k-th best score so far and the floor: none of a block's k best is lost.
+    """
     table = np.einsum("qpw,pcw->pqc", coarse.split(q.astype(np.float32)), np.where(coarse.books < 1e29, coarse.books, 0))
     near = np.repeat((q.astype(np.float32) @ coarse.centroids[centre])[:, None], len(vec_id), 1)
     for p in range(len(table)):
         near += table[p][:, codes[:, p]]
-    near[query_id[:, None] == vec_id[None, :]] = -np.inf
-    most = min(rerank, len(vec_id))
-    best = np.sort(np.argpartition(near, len(vec_id) - most, 1)[:, len(vec_id) - most :], 1)
-    limit = np.take_along_axis(near, best, 1).min(1)
-    for r in np.flatnonzero((near >= limit[:, None]).sum(1) > most):  # of those at the limit, the smallest ids
-        at = np.flatnonzero(near[r] >= limit[r])
-        over = near[r, at] > limit[r]
-        best[r] = np.sort(np.r_[at[over], at[~over][: most - over.sum()]])
-    exact = np.einsum("qd,qmd->qm", q, x[best])
-    exact[np.take_along_axis(near, best, 1) == -np.inf] = -np.inf
-    order = np.argsort(-exact, 1, kind="stable")[:, :k]  # best is in the order of ids, so ties keep it
+    left = np.linalg.norm(coarse.split(x) - coarse.decoded(centre, codes), axis=(1, 2))
+    length = np.linalg.norm(q, axis=1)
+    # what single precision can be wrong by: of the sums, relative to the lengths that go into them
+    most_off = 1e-5 * length[:, None] * (np.linalg.norm(x, axis=1) + np.linalg.norm(coarse.centroids[centre]) + left)[None, :]
+    upper = near + length[:, None] * left[None, :] + most_off
+    upper[query_id[:, None] == vec_id[None, :]] = -np.inf
+    most = min(max(rerank, k), len(vec_id))
+    best = np.argpartition(upper, len(vec_id) - most, 1)[:, len(vec_id) - most :]
+    exact = np.full(upper.shape, -np.inf)
+    np.put_along_axis(exact, best, np.einsum("qd,qmd->qm", q, x[best]), 1)
+    exact[upper == -np.inf] = -np.inf
+    limit = np.maximum(floor, np.partition(exact, len(vec_id) - min(k, len(vec_id)), 1)[:, len(vec_id) - min(k, len(vec_id))])
+    r, c = np.nonzero((upper >= limit[:, None]) & (exact == -np.inf) & (upper > -np.inf))
+    for at in range(0, len(r), 1 << 16):
+        i, j = r[at : at + (1 << 16)], c[at : at + (1 << 16)]
+        exact[i, j] = np.einsum("nd,nd->n", q[i], x[j])
+    order = np.argsort(-exact, 1, kind="stable")[:, :k]  # members are in the order of ids, so ties keep it
     score = np.take_along_axis(exact, order, 1)
     r, c = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
-    return query_id[r], vec_id[np.take_along_axis(best, order, 1)[r, c]], score[r, c]
+    return query_id[r], vec_id[order[r, c]], score[r, c]
 
 
 def needed_probes(coarse: Coarse, sample: np.ndarray, k: int, held: float = HELD, asked: int = ASKED) -> int:

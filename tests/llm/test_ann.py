@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from lodestock.llm.ann import nearest
+from lodestock.llm.ann import fit, nearest, score_block
 
 
 def brute(rows, step, k):
@@ -48,3 +48,20 @@ def test_every_query_gets_all_it_asked_for(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])], "vec_id long, embedding array<float>")
     got = nearest(df, "vec_id % 20 = 0", 20, probes=3).groupBy("query_id").count().collect()
     assert len(got) == 150 and all(r["count"] == 20 for r in got)
+
+
+def test_block_of_near_vectors_loses_none():
+    rng = np.random.default_rng(7)
+    for noise in (0.02, 0.1, 0.3):
+        x = rng.normal(size=(1200, 64))
+        x[:900] = x[0] + noise * rng.normal(size=(900, 64)) / 8
+        coarse = fit(x[rng.permutation(1200)[:400]], 3)
+        lists = coarse.lists(x.astype(np.float32))
+        ids = np.flatnonzero(lists == np.bincount(lists).argmax())
+        q, of = x[ids[:50]], ids[:50]
+        codes = coarse.codes(x[ids].astype(np.float32), lists[ids])
+        query, found, _ = score_block(coarse, lists[ids[0]], of, q, ids, codes, x[ids], 20, 40, np.full(50, -np.inf))
+        for k, own in enumerate(of):
+            score = x[ids] @ q[k]
+            score[ids == own] = -np.inf
+            assert set(found[query == own].tolist()) == set(ids[np.argsort(-score)[:20]].tolist())
