@@ -347,6 +347,15 @@ def dup_genotypes(spark, sf_dir):
     return gt.duplicates(genotypes(spark, sf_dir).filter("cast(marker as int) < 4"))
 
 
+@query(f"""WITH {_GENO}, planted AS (SELECT * FROM geno UNION ALL SELECT 'c' || id, marker, dosage FROM geno WHERE CAST(id AS BIGINT) % 25 = 1)
+SELECT min(id) AS first, count(*) AS n FROM (SELECT id, string_agg(CAST(coalesce(dosage, 5) AS VARCHAR), '' ORDER BY marker) AS codes FROM planted GROUP BY id) GROUP BY codes HAVING count(*) > 1""")
+def dup_genotypes_whole(spark, sf_dir):
+    """Duplicates at all markers; one animal in 25 has a copy of its whole genotype under another id."""
+    geno = genotypes(spark, sf_dir)
+    copies = geno.filter("cast(id as bigint) % 25 = 1").withColumn("id", F.concat(F.lit("c"), "id"))
+    return gt.duplicates(geno.unionByName(copies))
+
+
 _CENTRED = "z AS (SELECT id, marker, coalesce(dosage, 2 * p) - 2 * p AS z FROM geno JOIN stats USING (marker) WHERE greatest(n0, n1, n2) < n), scale AS (SELECT sum(2 * p * (1 - p)) AS s FROM stats WHERE greatest(n0, n1, n2) < n)"
 
 
