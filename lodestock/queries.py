@@ -572,7 +572,7 @@ def gamma_estimate(spark, sf_dir):
     fam = pg.Family(ped)
     rows = []
     for method in ("gls", "em"):
-        g = ss.estimate_gamma(fam, {i: int(i) % 2 for i in fam.ids}, geno, method, most=20)
+        g = ss.estimate_gamma(fam, {i: int(i) % 2 for i in fam.ids}, geno, method)
         rows += [(method, a, b, float(g[a, b])) for a in range(2) for b in range(a + 1)]
     return spark.createDataFrame(rows, "method string, a int, b int, gamma double")
 
@@ -583,7 +583,9 @@ def pegs_effects(spark, sf_dir):
     k = np.array([int(i) for i in ids])
     y = np.stack([z[:, :8].sum(1) + (k * 37 % 11 - 5) / 3, z[:, 4:12].sum(1) + (k * 53 % 13 - 6) / 3], 1)
     y[k % 5 == 0, 1] = np.nan
-    out = ss.pegs(y, z, most=30)
+    out = ss.pegs(y, z)
+    if not out["converged"]:
+        raise ValueError("no convergence")
     return spark.createDataFrame([(j, float(a), float(b)) for j, (a, b) in enumerate(out["effects"])], "marker int, first double, second double")
 
 

@@ -174,3 +174,15 @@ def test_stream_sums(spark, tmp_path):
     run = RunningMeans(spark, "g", "y")
     run.start(spark.readStream.schema("g string, y double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")).awaitTermination()
     assert {r.level: (r.n, r.sum) for r in run.table().collect()} == {"a": (2, 5.0), "b": (1, 2.0)}
+
+
+def test_gamma_says_when_it_has_not_converged(spark):
+    from lodestock.queries import _genotyped
+
+    geno, ped, _ = _genotyped(spark, "/root/testdata/sf0.001")
+    fam = Family(ped)
+    group = {i: int(i) % 2 for i in fam.ids}
+    full = ss.estimate_gamma(fam, group, geno, "em")
+    with pytest.raises(ValueError, match="convergence"):
+        ss.estimate_gamma(fam, group, geno, "em", most=2)
+    assert np.abs(ss.estimate_gamma(fam, group, geno, "em", start=0.02) - full).max() < 1e-5
