@@ -3,32 +3,54 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
+#: Bytes of an Arrow batch between the JVM and Python; both sides, and each stage of a chain, hold a few.
+BATCH = 4 << 20
+#: Rows of a part (see part_of), as a power of two.
+PART_BITS = 11
+_BATCH_KEY, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", str((64 << 20) - 1)
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset (tests, a single machine) a
-    folder of our own is made, and removed when the driver ends.
+    ``spark.checkpoint.dir`` names that folder. Only where it is unset and driver and tasks are one process
+    (tests) a folder of our own is made, and removed when the driver ends. What a session wrote is removed by
+    clear_scratch.
     """
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "root" not in _OWN:
             _OWN["root"] = tempfile.mkdtemp(prefix="lodestock-")
             atexit.register(shutil.rmtree, _OWN["root"], ignore_errors=True)
         root = "file://" + _OWN["root"]
-    return f"{root.rstrip('/')}/lodestock/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/lodestock/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables and files that this application has written to the shared folder; DataFrames that read them end with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -38,6 +60,41 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers are kept and used again, and so would be all that one task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with batches of BATCH bytes, after which a worker gives memory back.
+
+    The size of batches is a setting of the session; where the session has set one, that holds.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, _UNSET) == _UNSET:
+        conf.set(_BATCH_KEY, BATCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes for df to have none of them."""
+    mark = "_"
+    while {(mark + n).lower() for n in names} & {c.lower() for c in df.columns}:
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def put_file(uri: str, data: bytes) -> None:
     """Write one file of the shared folder from a task.
 
@@ -54,6 +111,49 @@ def put_file(uri: str, data: bytes) -> None:
     store.move(part, path)
 
 
+def with_row(docs: DataFrame, name: str, row: str = "row") -> DataFrame:
+    """docs as a table of the shared folder, with a number that names each row. What is written is not computed anew, so the numbers stay."""
+    return saved(docs.withColumn(row, F.monotonically_increasing_id()), name, "zstd")
+
+
+def part_of(row: Column) -> Column:
+    """The part of with_row's table that a row is in: PART_ROWS rows that follow each other in one task's output."""
+    return F.shiftleft(F.shiftright(row, 33), 33 - PART_BITS).bitwiseOR(F.shiftright(row.bitwiseAND(F.lit((1 << 33) - 1)), PART_BITS))
+
+
+def write_parts(rows: DataFrame, path: str, cols: tuple[str, ...]) -> int:
+    """Write each part's rows (column part, and cols as sorted little-endian longs) to a file of its own; how many tasks wrote any."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+
+        def flush() -> None:
+            put_file(f"{path}/{now:016x}", np.concatenate(held, 1).astype("<i8").tobytes())
+
+        for batch in batches:
+            parts = np.asarray(batch.column(0))
+            values = np.stack([np.asarray(batch.column(1 + k)) for k in range(len(cols))])
+            for part in np.unique(parts).tolist():
+                if part != now and held:
+                    flush()
+                    held = []
+                now = part
+                held.append(values[:, parts == part])
+        if held:
+            flush()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([int(now is not None)], pa.int64())})
+
+    spread = rows.select("part", *cols).repartition(shuffle_parts(rows.sparkSession), "part").sortWithinPartitions("part", *cols)
+    return saved(mapped(spread, write, "n long"), "part-files").filter("n > 0").count()
+
+
+def read_part(path: str, part: int, cols: int) -> np.ndarray:
+    """What write_parts wrote of a part: an array with a row for each of cols."""
+    data = get_file(f"{path}/{part:016x}")
+    return np.frombuffer(data or b"", "<i8").reshape(cols, -1)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -93,6 +193,20 @@ def sliced(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = 32
             at = end
 
 
+def gathered(batches: Iterable[pa.RecordBatch], name: str = "text", least: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until a string column takes `least` bytes; longer ones are sliced."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in sliced(batches, name, least):
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(name)).nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str, total: int, share: float = 1e-3) -> DataFrame:
     """Rows of `counts` (one a key) whose key holds over `share` of `total` rows: 1 / share rows at most."""
     return counts.filter(F.col(n) > F.lit(max(1.0, total * share)))
@@ -114,12 +228,6 @@ def join_skewed(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int,
     return on_hot.unionByName(rest.join(cold, key, how))
 
 
-def nonnull(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-
-
 def get_file(uri: str) -> bytes | None:
     """A file that put_file wrote, or None if there is none."""
     from pyarrow import fs

@@ -5,9 +5,12 @@ the lowest first; a chunk level holds the chunks of all ids that reach it, a bit
 go on to the next level, and a rank directory (set bits before each block of 512) makes a position's
 place in the next level two look-ups. Any id, or any range of ids, is read without decoding others.
 
+Rows are dealt by range of (doc_id, hash of the text, row number), so neither one doc_id, nor null ones,
+nor one row that repeats lands in a single task.
+
 Cases: a null text is empty and yields the end id alone; null doc_ids come first and are kept; rows
-that repeat a doc_id are kept, ordered by text; an empty table gives no file and no row; other columns
-of the input are not read.
+that repeat a doc_id are kept, ordered by the hash of their text; an empty table gives no file and no
+row; other columns of the input are not read; the string of an added token in a text is that token.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestock.llm.common import put_file, saved, scratch, shuffle_parts, sliced
+from lodestock.llm.common import gathered, mapped, put_file, saved, scratch, shuffle_parts
 from lodestock.llm.tokens import loaded
 
 MAGIC = b"DAC1"
 #: Bytes of each chunk level; together they hold any id under 2 ** 32.
 WIDTHS = (1, 1, 2)
 BLOCK = 512
-#: Ids after which a segment ends with the document it is in.
-SEGMENT_IDS = 4_000_000
+#: Ids after which a segment ends with the batch of whole documents it is in.
+SEGMENT_IDS = 1_000_000
+#: Ids of a segment that are read back at a time, about.
+READ_IDS = 1 << 18
 _HEAD = struct.Struct("<4sHHQQ")
 
 
@@ -43,20 +48,19 @@ def encode_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarr
         np.packbits(present, bitorder="little").tobytes(),
         np.cumsum(lengths, dtype="<u8").tobytes(),
     ]
-    rest = np.asarray(ids, np.uint64)
+    rest = np.array(ids, np.uint32)
     for k, width in enumerate(widths):
         bits = 8 * width
-        if k + 1 == len(widths) and len(rest) and int(rest.max()) >> bits:
+        if k + 1 == len(widths) and bits < 32 and len(rest) and int(rest.max()) >> bits:
             raise ValueError(f"an id needs more than {8 * sum(widths)} bits")
-        goes_on = (rest >> np.uint64(bits)) > 0
+        goes_on = rest > np.uint32((1 << bits) - 1)
         bitmap = np.packbits(goes_on, bitorder="little")
-        full = np.zeros(-(-len(rest) // BLOCK) * BLOCK, bool)
-        full[: len(rest)] = goes_on
-        ranks = np.zeros(len(full) // BLOCK + 1, "<u4")
-        np.cumsum(full.reshape(-1, BLOCK).sum(1), out=ranks[1:])
-        chunks = (rest & np.uint64((1 << bits) - 1)).astype(f"<u{width}")
+        ranks = np.zeros(-(-len(rest) // BLOCK) + 1, "<u4")
+        if len(rest):
+            np.cumsum(np.add.reduceat(goes_on, np.arange(0, len(rest), BLOCK), dtype=np.uint32), out=ranks[1:])
+        chunks = (rest & np.uint32((1 << bits) - 1)).astype(f"<u{width}")
         out += [struct.pack("<HQ", width, len(rest)), chunks.tobytes(), bitmap.tobytes(), ranks.tobytes()]
-        rest = rest[goes_on] >> np.uint64(bits)
+        rest = rest[goes_on] >> np.uint32(bits) if bits < 32 else rest[:0]
     return b"".join(out)
 
 
@@ -132,33 +136,30 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, segment = loaded(tokenizer), TaskContext.get().partitionId(), 0
-        tail = np.array([] if end_id is None else [end_id], "<u4")
-        docs_in: list[int | None] = []
-        lengths: list[int] = []
-        held: list[np.ndarray] = []
-        n = 0
+        held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            data = encode_segment(docs_in, np.array(lengths, np.int64), np.concatenate(held))
-            put_file(f"{path}/part-{part:06d}-{segment:06d}.dac", data)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "segment": pa.array([segment], pa.int64()), "n_docs": pa.array([len(docs_in)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
+            doc_ids = [d for h in held for d in h[0]]
+            lengths, ids = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            put_file(f"{path}/part-{part:06d}-{segment:06d}.dac", encode_segment(doc_ids, lengths, ids))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "segment": pa.array([segment], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
 
-        for batch in sliced(batches, most=8 << 20):
+        for batch in gathered(batches):
             flat, at = ids_of.batch(batch.column(1))
-            for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                docs_in.append(doc_id)
-                held.append(np.concatenate([flat[at[k] : at[k + 1]], tail]).astype("<u2" if ids_of.small else "<u4"))
-                lengths.append(len(held[-1]))
-                n += lengths[-1]
-                if n >= segment_ids:
-                    yield flush()
-                    docs_in, lengths, held, n, segment = [], [], [], 0, segment + 1
-        if docs_in:
+            if end_id is not None:
+                flat = np.insert(flat, at[1:], end_id)
+            lengths = at[1:] - at[:-1] + (end_id is not None)
+            held.append((batch.column(0).to_pylist(), lengths, flat.astype("<u2" if ids_of.small and (end_id or 0) < 1 << 16 else "<u4")))
+            if sum(len(h[2]) for h in held) >= segment_ids:
+                yield flush()
+                held, segment = [], segment + 1
+        if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spread = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(spread.mapInArrow(encode, "part long, segment long, n_docs long, n_ids long"), "dac-manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = ("doc_id", "_hash", "_row")
+    spread = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(shuffle_parts(docs.sparkSession), *order)
+    return saved(mapped(spread.sortWithinPartitions(*order).select("doc_id", "text"), encode, "part long, segment long, n_docs long, n_ids long"), "dac-manifest")
 
 
 def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
@@ -173,14 +174,19 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 part, segment = map(int, name.rpartition("/")[2][5:-4].split("-"))
                 seg = Segment(data.as_buffer())
-                flat = seg.ids(0, seg.n_ids)
-                starts = np.concatenate([[0], seg.ends[:-1]])
-                raw = flat.tobytes()
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array(np.full(seg.n_docs, part)), "segment": pa.array(np.full(seg.n_docs, segment)),
-                    "doc_id": pa.array(seg.doc_ids, pa.int64()), "inside": pa.array(starts), "n_tokens": pa.array(seg.ends - starts),
-                    "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), seg.ends.tolist(), strict=True)], pa.int64()),
-                })
+                ends = seg.ends
+                first = 0
+                while first < seg.n_docs:  # some documents at a time
+                    begin = int(ends[first - 1]) if first else 0
+                    last = max(first + 1, int(np.searchsorted(ends, begin + READ_IDS, "right")))
+                    raw = seg.ids(begin, int(ends[last - 1])).tobytes()
+                    starts = np.concatenate([[begin], ends[first : last - 1]])
+                    yield pa.RecordBatch.from_pydict({
+                        "part": pa.array(np.full(last - first, part)), "segment": pa.array(np.full(last - first, segment)),
+                        "doc_id": pa.array(seg.doc_ids[first:last], pa.int64()), "inside": pa.array(starts), "n_tokens": pa.array(ends[first:last] - starts),
+                        "ids_crc32": pa.array([zlib.crc32(raw[4 * (a - begin) : 4 * (b - begin)]) for a, b in zip(starts.tolist(), ends[first:last].tolist(), strict=True)], pa.int64()),
+                    })
+                    first = last
 
     before, total = [], 0
     for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").toLocalIterator():
@@ -192,7 +198,7 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
     if not before:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.dac").load(path).select("path", "content")
-    rows = files.mapInArrow(decode, "part long, segment long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = mapped(files, decode, "part long, segment long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(bases, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 

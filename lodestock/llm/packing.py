@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestock.llm.common import saved, sliced
+from lodestock.llm.common import gathered, mapped, saved
 from lodestock.llm.tokens import loaded
 
 SIZE = 1024
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part = loaded(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for batch in sliced(batches, most=8 << 20):
+        for batch in gathered(batches):
             flat, at = ids_of.batch(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
             cols: list[list] = [[], [], [], [], []]
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) -
             yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(nth), part))} | {n: pa.array(c, pa.int64()) for n, c in zip(names, cols, strict=True)} | {"nth": pa.array(nth)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "part long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long")
+    return mapped(rows, cut, "part long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) -> DataFrame:
@@ -114,8 +114,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) ->
                 sequence[own], offset[own] = seq[at] + rank[own] - first[at], off[at]
             yield pa.RecordBatch.from_pydict(cols | {"sequence_id": pa.array(sequence), "offset": pa.array(offset)})
 
-    ranked = cut.join(ranks, ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long") if histogram else spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # the ranks grow with the parts: a join by a shuffle of both, never a broadcast
+    ranked = cut.join(ranks.hint("merge"), ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
+    return mapped(ranked, place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long") if histogram else spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Both vocabularies split a text by a fixed expression before they merge, so a text's ids are its
 pieces' ids one after the other. Texts of basic Latin letters (code points under U+0180, where
 normal forms, letter classes and lower-casing agree between libraries) are split here and looked up;
-any other text goes to the tokenizer whole.
+any other text, and any that holds the string of an added token, goes to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ OTHER = re.compile("[^\\x00-įı-ſ]|[\\x1c-\\x1f]")
 WORDS = re.compile(f"{SUFFIX}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 BYTES = re.compile(f"{SUFFIX}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-#: Pieces kept in each of two generations: about 100 MB a generation.
-KEPT = 500_000
+#: Pieces kept in each of two generations: about 40 MB a generation.
+KEPT = 200_000
 
 
 class _Pieces(dict):
@@ -56,11 +56,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Ids:
-    """The ids of Tokenizer.from_file(path).encode(text, add_special_tokens=False), special strings read as ordinary text."""
+    """The ids of Tokenizer.from_file(path).encode(text, add_special_tokens=False): the string of an added token is that token."""
 
     def __init__(self, path: str, kept: int = KEPT) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lower = self.tokenizer.normalizer is not None
         self.split = (WORDS if self.lower else BYTES).findall
         self.pieces = _Pieces(self._piece, kept)
@@ -74,7 +74,7 @@ class Ids:
         return np.fromiter((t.id for t in self.model.tokenize(word)), "<u4").tobytes()
 
     def _ids(self, text: str) -> bytes:
-        if OTHER.search(text):
+        if OTHER.search(text) or any(a in text for a in self.added):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, self.split(text.lower() if self.lower else text)))
 
@@ -86,12 +86,12 @@ class Ids:
 
         Texts are cut before single spaces, where no piece of either vocabulary's goes on, and equal
         cuts are encoded once a batch. Byte-level pieces may span two spaces or more, so texts with
-        such runs are not cut there.
+        such runs are not cut there, nor are texts that hold the string of an added token.
         """
         texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
-        whole = None if self.lower else pc.match_substring(texts, "  ")
-        if whole is not None and pc.any(whole).as_py():
-            # each text with a run of spaces is one cut of its own
+        whole = pc.match_substring_regex(texts, "|".join([*map(re.escape, self.added), *([] if self.lower else ["  "])]) or "$.")
+        if pc.any(whole).as_py():
+            # each of these texts is one cut of its own
             lists = [[t] if w else t.split(" ") for t, w in zip(texts.to_pylist(), whole.to_pylist(), strict=True)]
             cuts = pa.array(lists, pa.large_list(pa.large_string()))
         else:

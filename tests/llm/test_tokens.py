@@ -11,15 +11,14 @@ from lodestock.llm.dac import Segment, encode_segment, read_tokens, write_tokens
 from lodestock.llm.packing import pack, shortest_pack_first
 from lodestock.llm.tokens import Ids
 
-HARD = ["", " ", "a", "  a  b\n\n c'd 'S İx ſ ¼3²", "x'S Y's 12 3\t\t4 <|endoftext|> __a -- b\x1cc", "\n\n", " a \n b \r\n", "a\n b", "a \nb ", "日本 語 ä ̈b", "Éeauouon.\nEnpaeux $$$ x", "word " * 3000, "x" * 5000]
-ROWS = [(5, HARD[3]), (2, None), (9, "word " * 3000), (2, "again"), (None, "no id"), (7, ""), (5, HARD[3])]
+HARD = ["", " ", "a", "  a  b\n\n c'd 'S İx ſ ¼3²", "x'S Y's 12 3\t\t4 <|endoftext|> __a -- b\x1cc", "\n\n", " a \n b \r\n", "a\n b", "a \nb ", "日本 語 ä ̈b", "hello <|endoftext|> world", "a<|startoftext|>b <|endoftext|><|ENDOFTEXT|> 日 c", "x  <|endoftext|>  y", "Éeauouon.\nEnpaeux $$$ x", "word " * 3000, "x" * 5000]
+ROWS = [(5, HARD[3]), (2, None), (9, "word " * 3000), (2, "again"), (None, "no id"), (7, ""), (5, HARD[3]), (11, "hello <|endoftext|> world"), (12, "a <|startoftext|>b")]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_are_the_librarys(name):
     path = public_tokenizers.path(name)
     plain, own = Tokenizer.from_file(path), Ids(path, kept=3)
-    plain.encode_special_tokens = True
     for sub in (HARD, [x for x in HARD if "  " not in x], []):
         flat, at = own.batch(pa.array(sub, pa.string()))
         for k, text in enumerate(sub):
@@ -87,3 +86,56 @@ def test_shortest_pack_goes_first():
     assert placed[:3] == [(6, 0, 2, 0, 0), (5, 0, 1, 2, 0), (3, 0, 1, 2, 5)]
     assert sum(p[2] for p in placed) == 8
     assert len(shortest_pack_first({k: 997 * k % 13 + 1 for k in range(1, 1025)})[0]) < 4096
+
+
+def slow_packing(histogram, size):
+    """One document at a time, the longest first, into the sequence with the most room left; what is left of a length that fits nowhere begins sequences. How full each sequence gets."""
+    full = []
+    for length in sorted(histogram, reverse=True):
+        left = histogram[length]
+        while left:
+            at = min(range(len(full)), key=full.__getitem__, default=None)
+            if at is None or full[at] + length > size:
+                full += [length] * left
+                break
+            full[at] += length
+            left -= 1
+    return sorted(full)
+
+
+def test_packing_is_that_of_one_document_at_a_time():
+    rng = np.random.default_rng(4)
+    for size in (10, 64):
+        for _ in range(20):
+            histogram = {int(n): int(rng.integers(1, 9)) for n in rng.integers(1, size + 1, 12)}
+            placed, made = shortest_pack_first(histogram, size)
+            full = np.zeros(made, int)
+            for length, _, count, first, offset in placed:
+                assert (full[first : first + count] == offset).all()
+                full[first : first + count] += length
+            assert sorted(full.tolist()) == slow_packing(histogram, size)
+            for length in histogram:
+                ranks = sorted((rank, count) for n, rank, count, _, _ in placed if n == length)
+                assert [r for r, _ in ranks] == np.cumsum([0, *(c for _, c in ranks)])[:-1].tolist() and sum(c for _, c in ranks) == histogram[length]
+
+
+def test_a_table_of_one_id_is_dealt_out(spark):
+    docs = _docs(spark, [*((7, f"text {k}") for k in range(40)), *((None, "same") for _ in range(40))]).repartition(4)
+    at, path = scratch(spark, "one"), public_tokenizers.path("word_bpe_49k.json")
+    manifest = write_tokens(docs, at, path)
+    assert manifest.groupBy("part").sum("n_docs").count() > 1
+    got = sorted(read_tokens(spark, at, manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist() and [r.doc_id for r in got] == [None] * 40 + [7] * 40
+
+
+def test_packed_table_pads_as_little_as_the_rule(spark):
+    rng = np.random.default_rng(3)
+    docs = _docs(spark, [(k, "w " * int(rng.integers(0, 90))) for k in range(200)])
+    got = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=64).collect()
+    histogram = {}
+    for r in got:
+        histogram[r.length] = histogram.get(r.length, 0) + 1
+    full = {}
+    for r in got:
+        full[r.sequence_id] = full.get(r.sequence_id, 0) + r.length
+    assert sorted(full.values()) == slow_packing(histogram, 64)
