@@ -5,11 +5,15 @@ of the mix map the golden-ratio points frac(i * phi) through the cumulative shar
 slot of a source takes its block k, starting over after the last. The number of a source's points before
 slot i is a sum of floors, so every slot knows its rank by itself: no count, window or order of slots
 is shared between tasks. A source stops at the words its target allows, its last block being cut
-there; the few slots that chance leaves short follow at the end.
+there; the few slots that chance leaves short follow at the end. The mixed table stands in the order of slots.
+
+Rows that agree in doc_id, source and text are counted first and placed as one, so a row that repeats is
+gathered nowhere.
 
 Cases: null texts and texts without words have size 0 and take nothing; a null source is a source, the
-last; null and repeated doc_ids are kept, a row each; an empty table gives no row; other columns are not
-read. The driver holds one row a source.
+last; null and repeated doc_ids are kept, a row each; an empty table gives no row; other columns are
+carried by `mixed_documents` whatever their names (of rows that agree in doc_id, source and text, those of the
+first) and not read by `mix`. The driver holds one row a source.
 """
 
 from __future__ import annotations
@@ -20,16 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestock.llm.common import join_skewed, saved, sliced, texts
+from lodestock.llm.common import free_names, join_skewed, mapped, part_of, read_part, saved, scratch, shuffle_parts, sliced, texts, with_row, write_parts
 
 #: Weights of the sources in order, repeating; the mix's words as a multiple of all; a source's most, as a multiple of its own.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: A block has this many words, or less where the corpus is so small that the mix would have under SLOTS slots.
+#: Words of a block, but for a source's last.
 BLOCK = 2048
-SLOTS = 200_000
 #: Slots made by one row of the schedule's range.
 CHUNK = 1 << 14
 #: The golden ratio's fraction in 64 bits.
@@ -38,13 +42,13 @@ GOLDEN = 0x9E3779B97F4A7C15
 BUCKET = 2000
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text_hash, size: runs of bytes other than space and \\x09-\\x0D, counted over Arrow buffers."""
+def word_counts(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source, text_hash, size, row (of the column so named, if any): runs of bytes other than space and \\x09-\\x0D, counted over Arrow buffers."""
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, most=16 << 20):
+        for batch in sliced(batches, most=4 << 20):
             data, at = texts(batch)
             word = ~space[data]
             begins = word.copy()
@@ -53,10 +57,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             begins[first] = word[first]
             total = np.zeros(len(data) + 1, np.int64)
             np.cumsum(begins, out=total[1:])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "source": batch.column(1), "text_hash": batch.column(3), "size": pa.array(total[at[1:]] - total[at[:-1]])})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "source": batch.column(1), "text_hash": batch.column(3), "size": pa.array(total[at[1:]] - total[at[:-1]]), "row": batch.column(4)})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(count, "doc_id long, source string, text_hash long, size long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"), F.col(row).alias("row") if row else F.lit(0).cast("long").alias("row"))
+    return mapped(rows, count, "doc_id long, source string, text_hash long, size long, row long")
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -145,70 +149,111 @@ def schedule(spark: SparkSession, p: dict) -> DataFrame:
                         at += n
 
     chunks = -(-total // CHUNK)
-    return spark.range(0, chunks + 1, 1, max(1, min(chunks + 1, 4096))).mapInArrow(make, "slot long, source_no long, pass long, block long, words long")
+    return mapped(spark.range(0, chunks + 1, 1, max(1, min(chunks + 1, 4096))), make, "slot long, source_no long, pass long, block long, words long")
+
 
+def placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, row: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(rows, pieces, slots): where each row of docs stands in its source, what each slot takes of it, and how many slots there are.
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """Per row of docs: doc_id, text_hash (XXH64 of the text), size, source_size, target, taken."""
+    rows: source_no, bucket, nth, copy (these four name a row), doc_id, size, source_size, target, begin, row (of rows that repeat the smallest).
+    pieces: the four, begin, size, row, slot, pass, block, words.
+    """
     spark = docs.sparkSession
-    sizes = saved(word_counts(docs), "sizes")
+    sizes = saved(word_counts(docs, row), "sizes")
     by = {r.source: (r.size or 0, r.n) for r in sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toLocalIterator()}
     order = sorted(by, key=lambda s: (s is None, s or ""))
     own = [by[s][0] for s in order]
     goals = targets(own, weights, share)
-    n_docs, n_words = sum(n for _, n in by.values()), sum(own)
-    block = max(1, min(BLOCK, int(share * n_words) // SLOTS))
+    n_docs = sum(n for _, n in by.values())
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
     facts = spark.createDataFrame([("-" if s is None else "+" + s, k, own[k], goals[k], by[s][1]) for k, s in enumerate(order)], "key string, source_no long, source_size long, target double, n long")
-    hashed = F.xxhash64("doc_id", "size", F.lit("mix"))
+    alike = sizes.groupBy("doc_id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"))
+    hashed = F.xxhash64("doc_id", "text_hash", "size", F.lit("mix"))
     many = max(1, min(1 << 24, -(-n_docs // BUCKET)))
-    placed = join_skewed(sizes.withColumn("key", key), facts, "key", "n", n_docs).select(
-        "doc_id", "text_hash", "size", "source_no", "source_size", "target", hashed.alias("hash"), F.shiftright(F.shiftrightunsigned(hashed, 40) * F.lit(many), 24).alias("bucket")
+    there = join_skewed(alike.withColumn("key", key), facts, "key", "n", n_docs).select(
+        "doc_id", "text_hash", "size", "copies", "row", "source_no", "source_size", "target", hashed.alias("hash"), F.shiftright(F.shiftrightunsigned(hashed, 40) * F.lit(many), 24).alias("bucket")
     )
-    sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
+    words = F.col("size") * F.col("copies")
+    sums = there.groupBy("source_no", "bucket").agg(F.sum(words).alias("n"))
     before = sums.select("source_no", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source_no", "bucket").orderBy("hash", "doc_id", "size", "text_hash")
-    rows = placed.withColumn("nth", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = saved(rows.join(before, ["source_no", "bucket"]).withColumn("begin", F.col("before") + F.col("upto") - F.col("size")).drop("hash", "before", "upto"), "mix-rows")
-    last = F.expr(f"(begin + size - 1) div {block}")
-    cut = rows.filter("size > 0").select("source_no", "bucket", "nth", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), last)).alias("block"))
-    slots = schedule(spark, plan(own, goals, block)).select("source_no", "block", "words")
+    rows = there.withColumn("nth", F.row_number().over(inside)).withColumn("upto", F.sum(words).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(before, ["source_no", "bucket"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = rows.withColumn("begin", F.col("before") + F.col("upto") - words + F.col("copy") * F.col("size"))
+    rows = saved(rows.select("source_no", "bucket", "nth", "copy", "doc_id", "size", "source_size", "target", "begin", "row"), "mix-rows")
+    named = ["source_no", "bucket", "nth", "copy", "begin", "size", "row"]
+    cut = rows.filter("size > 0").select(*named, F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))).alias("block"))
+    p = plan(own, goals, block)
     low = F.greatest(F.col("begin"), F.col("block") * block)
     high = F.least(F.col("begin") + F.col("size"), F.col("block") * block + F.col("words"))
-    taken = cut.join(slots, ["source_no", "block"]).groupBy("source_no", "bucket", "nth").agg(F.sum(F.greatest(F.lit(0), high - low)).alias("taken"))
-    return rows.join(taken, ["source_no", "bucket", "nth"], "left").select("doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    pieces = cut.join(schedule(spark, p), ["source_no", "block"]).withColumn("words", high - low).filter("words > 0")
+    return rows, pieces.select(*named, "slot", "pass", "block", "words"), p["total"]
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target, taken, first_slot (null if nothing is taken), n_slots (slots that take words of it), slots_digest.
+
+    slots_digest is the exclusive or of XXH64 over (slot, source number, pass, block, words) of what is taken.
+    """
+    rows, pieces, _ = placed(docs, weights, share, block)
+    key = ["source_no", "bucket", "nth", "copy"]
+    digest = F.bit_xor(F.xxhash64("slot", "source_no", "pass", "block", "words"))
+    taken = pieces.groupBy(*key).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"), digest.alias("slots_digest"))
+    none = F.lit(0).cast("long")
+    return rows.join(taken, key, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), "first_slot", F.coalesce("n_slots", none).alias("n_slots"), F.coalesce("slots_digest", none).alias("slots_digest"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs as the mix takes them, with their columns: whole as often as it is taken whole, then the first words of a rest.
+def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of docs as the mix takes them, with their columns, in the order of slots: a row for each time a document is taken, at the slot that takes it first.
 
-    n_chars, where there is one, is counted anew in such a rest.
+    All are whole, except that the last words a source gives may be the first ones of a document; n_chars,
+    where there is one, is counted anew there. What is taken of a part of docs lies in a file of the shared
+    folder, which the pass over docs reads; so texts are exchanged once, to their slots.
     """
-    taken = mix(docs).groupBy("doc_id", "text_hash").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken")).filter("_taken > 0")
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    own = docs.withColumn("_key", F.xxhash64("text"))
-    rows = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash"))).drop("_id", "_hash")
-    # rows that repeat are one row taken more often
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("doc_id", "_key"))).filter("_nth = 1")
-    names = docs.columns
-
-    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            size, taken = (np.asarray(batch.column(batch.schema.get_field_index(n))) for n in ("_size", "_taken"))
-            batch = batch.select(names)
-            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), taken // size)))
-            part = np.flatnonzero(taken % size)
-            if len(part):
-                cut = batch.take(pa.array(part))
-                at = cut.schema.get_field_index("text")
-                found = [first_words(t, int(n)) for t, n in zip(cut.column(at).to_pylist(), taken[part] % size[part], strict=True)]
-                cut = cut.set_column(at, cut.schema.field(at), pa.array(found, cut.schema.field(at).type))
-                if "n_chars" in names:
-                    at = cut.schema.get_field_index("n_chars")
-                    cut = cut.set_column(at, cut.schema.field(at), pa.array(list(map(len, found)), cut.schema.field(at).type))
-                yield cut
-
-    return rows.select(*names, "_size", "_taken").mapInArrow(repeat, docs.schema)
+    spark, names = docs.sparkSession, docs.columns
+    row, slot, begin = free_names(docs, "row", "slot", "begin")
+    table = with_row(docs, "mix-documents", row)
+    _, pieces, total = placed(table, block=block, row=row)
+    passes = pieces.groupBy("row", "begin", "pass", "size").agg(F.min("slot").alias("slot"), F.sum("words").alias("words"))
+    path = scratch(spark, "mix-passes")
+    write_parts(passes.select(part_of(F.col("row")).alias("part"), "row", "slot", "begin", "words", "size"), path, ("row", "slot", "begin", "words", "size"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, np.zeros((5, 0), np.int64)
+        for batch in sliced(batches, most=4 << 20):
+            parts, rows = (np.asarray(batch.column(batch.num_columns - k)) for k in (1, 2))
+            for part in np.unique(parts).tolist():
+                if part != now:
+                    now, own = part, read_part(path, part, 5)
+                here = np.flatnonzero(parts == part)
+                a, b = np.searchsorted(own[0], rows[here], "left"), np.searchsorted(own[0], rows[here], "right")
+                at = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
+                whole = own[3, at] == own[4, at]
+                for some in (whole, ~whole):
+                    mine = at[some]
+                    out = batch.select(names).take(pa.array(np.repeat(here, b - a)[some]))
+                    if not len(mine):
+                        continue
+                    if some is not whole:
+                        out = shortened(out, own[3, mine])
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(own[1, mine]), pa.array(own[2, mine])], schema=pa.schema([*out.schema, pa.field(slot, pa.int64()), pa.field(begin, pa.int64())]))
+
+    schema = StructType([*docs.schema.fields, StructField(slot, LongType()), StructField(begin, LongType())])
+    taken = mapped(table.select(*names, row, part_of(F.col(row)).alias(free_names(table, "part")[0])), take, schema)
+    many = shuffle_parts(spark)
+    placed_at = F.floor(F.col(slot) * many / max(1, total)).cast("int")
+    return taken.repartitionById(many, F.least(placed_at, F.lit(many - 1))).sortWithinPartitions(slot, begin).select(names)
+
+
+def shortened(batch: pa.RecordBatch, words: np.ndarray) -> pa.RecordBatch:
+    """Rows with the first so many words of each text, and n_chars (if any) of what is left."""
+    at = batch.schema.get_field_index("text")
+    found = [first_words(t, int(n)) for t, n in zip(batch.column(at).to_pylist(), words, strict=True)]
+    batch = batch.set_column(at, batch.schema.field(at), pa.array(found, batch.schema.field(at).type))
+    if "n_chars" in batch.schema.names:
+        at = batch.schema.get_field_index("n_chars")
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(list(map(len, found)), batch.schema.field(at).type))
+    return batch
 
 
 def first_words(text: str, n: int) -> str:
@@ -218,4 +263,4 @@ def first_words(text: str, n: int) -> str:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

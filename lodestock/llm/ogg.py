@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestock.llm.common import saved, sliced, strings
+from lodestock.llm.common import mapped, saved, sliced, strings
 
 UNIT = 192
 RATE = 8000
@@ -165,7 +165,7 @@ def store_media(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "media": pa.array(media, pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return saved(rows.mapInArrow(encode, "doc_id long, media binary"), "media", "zstd")
+    return saved(mapped(rows, encode, "doc_id long, media binary"), "media", "zstd")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 "media_bytes": pa.array(list(map(len, raw)), pa.int64()), "media_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), "feature": pa.array([m.feature for m in got], pa.string()),
             })
 
-    return media.mapInArrow(features, schema)
+    return mapped(media, features, schema)
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

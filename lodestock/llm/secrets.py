@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestock.llm.common import sliced, strings
+from lodestock.llm.common import free_names, mapped, sliced, strings
 
 #: The order of kinds that begin at one place; the first three are the base.
 KINDS = ("assign", "access", "hex", "github", "npm", "age")
@@ -143,7 +143,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "spans": pa.array(found, kinds)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, spans array<struct<kind string, start long, end long>>")
+    return mapped(rows, scan, "doc_id long, spans array<struct<kind string, start long, end long>>")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -155,11 +155,12 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = [None if t is None else redacted(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    before = docs.withColumn("_chars", F.char_length("text"))
     if "n_chars" not in docs.columns:
-        return docs.mapInArrow(change, docs.schema)
-    out = before.mapInArrow(change, before.schema)
-    moved = F.char_length("text") != F.col("_chars")
+        return mapped(docs, change, docs.schema)
+    (chars,) = free_names(docs, "chars")
+    before = docs.withColumn(chars, F.char_length("text"))
+    out = mapped(before, change, before.schema)
+    moved = F.char_length("text") != F.col(chars)
     return out.withColumn("n_chars", F.when(moved, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
@@ -175,4 +176,4 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | count | {"base_sha256": pa.array([hashlib.sha256(line(row).encode()).hexdigest() for row in base], pa.string()), "spans": pa.array(list(map(line, found)), pa.string())})
 
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return mapped(found, digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

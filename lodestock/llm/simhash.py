@@ -22,17 +22,16 @@ an empty table gives no row; other columns are not read.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestock.llm.common import join_skewed, saved, shuffle_parts, sliced, strings
+from lodestock.llm.common import join_skewed, mapped, saved, shuffle_parts, sliced, strings
 from lodestock.llm.components import components
 
 WORDS, MOST, SEED = 4, 4, 42
@@ -41,12 +40,10 @@ CHUNK = 1024
 #: Children of a node.
 FAN = 8
 ROTATIONS = (0, 13, 26, 39, 52)
-#: Buckets of a sketch; one document in COUNTED is asked for shingles that many have, of which COMMON are known at most.
-BUCKETS, COUNTED, COMMON = 512, 24, 300_000
 
 
-def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
-    """The 64-bit fingerprint of each text (uint64). Bits are counted eight to a word, over runs of 255 hashes at most."""
+def shingle_hashes(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles each text has, and the hashes of all of them in a row (uint64), repeats included."""
     digest, raw, counts = xxhash.xxh64_digest, [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         found = text.encode().lower().split()
@@ -57,13 +54,17 @@ def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
             ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
             begins = [0, *(ends[: len(ends) - words] + 1).tolist()]
             shingles = [line[a:b] for a, b in zip(begins, ends[words - 1 :].tolist(), strict=True)]
-        raw += [digest(s, SEED) for s in shingles]
+        raw.append(b"".join([digest(s, SEED) for s in shingles]))
         counts[k] = len(shingles)
-    out = np.zeros(len(texts), np.uint64)
+    return counts, np.frombuffer(b"".join(raw), ">u8").astype(np.uint64)
+
+
+def print_bits(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The 64-bit fingerprint (uint64) of each text of shingle_hashes. Bits are counted eight to a word, over runs of 255 hashes at most."""
+    out = np.zeros(len(counts), np.uint64)
     own = np.flatnonzero(counts)
     if not len(own):
         return out
-    hashes = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64)
     first = np.cumsum(counts[own]) - counts[own]
     runs = -(-counts[own] // 255)
     doc = np.cumsum(runs) - runs
@@ -77,6 +78,10 @@ def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
     return out
 
 
+def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
+    return print_bits(*shingle_hashes(texts, words))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each word in the reflected Gray sequence."""
     x = x.copy()
@@ -209,11 +214,11 @@ def simhash_components(docs: DataFrame, words: int = WORDS, most: int = MOST) ->
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "print": pa.array(fingerprints(strings(batch), words).view(np.int64))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = saved(rows.mapInArrow(hashed, "doc_id long, print long"), "prints")
+    prints = saved(mapped(rows, hashed, "doc_id long, print long"), "prints")
     nodes = saved(prints.filter("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
     total, many = prints.count(), nodes.count()
     found = nodes.select("node", "print").withColumn("component", F.col("node"))
-    near = components(_neighbour_links(nodes, most))
+    near = components(neighbour_links(nodes, most))
     found = saved(found.drop("component").join(near, "node", "left").withColumn("component", F.coalesce("component", "node")), "merged")
     far = components(_index_links(found, patterns(many, most), most))
     far = far.select(F.col("node").alias("component"), F.col("component").alias("last"))
@@ -222,8 +227,8 @@ def simhash_components(docs: DataFrame, words: int = WORDS, most: int = MOST) ->
     return joined.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _neighbour_links(nodes: DataFrame, most: int) -> DataFrame:
-    """u, v: neighbours in the Gray order of each rotation, as links to the first of a run."""
+def neighbour_links(nodes: DataFrame, most: int) -> DataFrame:
+    """u, v: neighbours in the Gray order of each rotation that differ in `most` bits or fewer. Each row is linked to the one before it."""
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,11 +250,11 @@ def _neighbour_links(nodes: DataFrame, most: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"u": pa.array(node[:-1][close]), "v": pa.array(node[1:][close])})
             last = (turn[-1:], node[-1:], x[-1:])
 
-    ranked = nodes.select("node", "print").mapInArrow(ranks, "turn long, rank long, node long, print long")
-    return ranked.repartitionByRange(shuffle_parts(nodes.sparkSession), "turn", "rank").sortWithinPartitions("turn", "rank").mapInArrow(link, "u long, v long")
+    ranked = mapped(nodes.select("node", "print"), ranks, "turn long, rank long, node long, print long")
+    return mapped(ranked.repartitionByRange(shuffle_parts(nodes.sparkSession), "turn", "rank").sortWithinPartitions("turn", "rank"), link, "u long, v long")
 
 
-def _dealt(rows: DataFrame, by: list[str], kept: list[str], spread: str) -> DataFrame:
+def dealt(rows: DataFrame, by: list[str], kept: list[str], spread: str) -> DataFrame:
     """rows (kept and by, component among kept) with the chunks a, b of each pair of chunks, of those with equal `by`, that are searched together."""
     # keys with many rows: chunks of each component that alone has many, and chunks of the rest
     full = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select(*by)
@@ -271,14 +276,12 @@ def _dealt(rows: DataFrame, by: list[str], kept: list[str], spread: str) -> Data
     return paired.select(*kept, *by, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
 
 
-def _index_links(found: DataFrame, masks: list[int], most: int, pairs: bool = False) -> DataFrame:
-    """u, v: links between components, found below the patterns of the masks; with pairs, every near pair of nodes of two components."""
+def _index_links(found: DataFrame, masks: list[int], most: int) -> DataFrame:
+    """u, v: links between components, found below the patterns of the masks."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(k).cast("long").alias("mask"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(signed)])
-    kept = ["print", "component", *(["node"] if pairs else [])]
-    rows = found.select(*kept, F.explode(keys).alias("key")).select(*kept, "key.mask", "key.bits")
-    paired = _dealt(rows, ["mask", "bits"], kept, "print")
-    of_mask = np.array(masks, np.uint64)
+    rows = found.select("print", "component", F.explode(keys).alias("key")).select("print", "component", "key.mask", "key.bits")
+    paired = dealt(rows, ["mask", "bits"], ["print", "component"], "print")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -286,11 +289,7 @@ def _index_links(found: DataFrame, masks: list[int], most: int, pairs: bool = Fa
         def links(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             key = np.stack(cols[2:6])
             group = np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(0)])
-            if pairs:
-                order = np.argsort(of_mask)
-                u, v = near_pairs(group, cols[0].view(np.uint64), cols[1], cols[6], order[np.searchsorted(of_mask[order], cols[2].view(np.uint64))], of_mask, most)
-            else:
-                u, v = forest_links(group, cols[0].view(np.uint64), cols[1], most)
+            u, v = forest_links(group, cols[0].view(np.uint64), cols[1], most)
             return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
 
         for batch in batches:
@@ -310,263 +309,8 @@ def _index_links(found: DataFrame, masks: list[int], most: int, pairs: bool = Fa
             yield links(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
     key = ["mask", "bits", "a", "b"]
-    if pairs:  # what follows from other columns is not exchanged
-        paired = paired.withColumn("component", F.when(F.col("component") != F.col("node"), F.col("component"))).drop("bits")
-        bits = F.col("print").bitwiseAND(F.col("mask"))
-        sent = paired.repartition(shuffle_parts(found.sparkSession), "mask", bits, "a", "b").withColumn("bits", bits)
-        sent = sent.select("print", F.coalesce("component", "node").alias("component"), *key, "node")
-    else:
-        sent = paired.repartition(shuffle_parts(found.sparkSession), *key)
-    return sent.sortWithinPartitions(*key).mapInArrow(search, "u long, v long")
-
-
-def radius(similarity: float) -> int:
-    """The bits of 64 in which the fingerprints of texts of this Jaccard similarity differ on average: an angle's share of a half turn."""
-    return round(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def word_key(text: str) -> int:
-    """A signed 64-bit number of the words of a text."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(text.encode().lower().split()))).view(np.int64))
-
-
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted."""
-    found = text.encode().lower().split()
-    runs = {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
-    return np.sort(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64))
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """How many hashes of a set fall in each of BUCKETS, 255 at most. Two sets have at least as many hashes not in common as their sketches differ by in sum."""
-    return np.minimum(np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
-
-
-def near_pairs(group: np.ndarray, prints: np.ndarray, component: np.ndarray, node: np.ndarray, at_mask: np.ndarray, masks: np.ndarray, most: int, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of different components at `most` bits or fewer, each below the first of the masks under which it agrees."""
-    index = GrayIndex(group, prints)
-    same, node, at_mask = np.unique(component, return_inverse=True)[1][index.order], node[index.order], at_mask[index.order]
-    uniform, cost = index.uniform(same), np.cumsum(np.bincount(index.roots)[index.roots])
-    at, out = 0, [np.zeros((2, 0), np.int64)]
-    while at < len(prints):
-        end = max(at + 1, int(np.searchsorted(cost, cost[at] + step)))
-        i, j = index.near(np.arange(at, end), most, same, uniform)
-        apart, keep = index.prints[i] ^ index.prints[j], np.ones(len(i), bool)
-        for k, mask in enumerate(masks):
-            keep &= ((apart & mask) != 0) | (at_mask[i] <= k)
-        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])[:, keep])
-        at = end
-    both = np.concatenate(out, axis=1)
-    return both[0], both[1]
-
-
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v: keys of nodes) whose texts' sets of shingles have this Jaccard similarity or more: the exact check."""
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, had in sets(batches):
-            yield pa.RecordBatch.from_pydict({"key": key, "sketch": pa.array([sketch(h) for h in had], pa.binary()), "size": pa.array([len(h) for h in had], pa.int64())})
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, had in sets(batches):
-            yield pa.RecordBatch.from_pydict({"key": key, "had": pa.array([h.tobytes() for h in had], pa.binary())})
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-        for batch in sliced(batches, most=1 << 20):
-            # rows of another text that repeat a doc_id are left out
-            found = [(k, t) for k, t in zip(batch.column(0).to_pylist(), strings(batch), strict=True) if word_key(t) == k]
-            yield pa.array([k for k, _ in found], pa.int64()), [shingle_set(t, words) for _, t in found]
-
-    def of_nodes(pairs: DataFrame, made, schema: str, name: str) -> DataFrame:
-        """One row for each node of the pairs; only texts that many rows have are exchanged for that."""
-        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        wanted = saved(wanted.join(nodes, "node").select(F.col("first").alias("doc_id"), "node", (F.col("n") > 1).alias("again")), "wanted")
-        once, again = (rows.join(wanted.filter(c).drop("again"), "doc_id").select("node", "text") for c in ("not again", "again"))
-        return saved(once.mapInArrow(made, schema).unionByName(again.mapInArrow(made, schema).dropDuplicates(["key"])), name)
-
-    def could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (2, 3))
-            apart, sizes = np.abs(x - y).sum(1), np.asarray(batch.column(4)) + np.asarray(batch.column(5))
-            yield batch.select(["u", "v"]).filter(pa.array(apart <= (1 - similarity) / (1 + similarity) * sizes + 1e-6, pa.bool_()))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                keep.append(both >= similarity * (len(x) // 8 + len(y) // 8 - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = saved(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct(), "pairs")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # first what the sketches alone rule out, then the sets of the pairs that are left
-    had = of_nodes(pairs, sketched, "key long, sketch binary, size long", "sketches")
-    of = lambda name, *cols: had.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-    rough = pairs.join(of("u", "sketch", "size"), "u").join(of("v", "sketch", "size"), "v").select("u", "v", "sketch_u", "sketch_v", "size_u", "size_v")
-    pairs = saved(rough.mapInArrow(could, "u long, v long"), "possible")
-    had = of_nodes(pairs, whole, "key long, had binary", "sets")
-    return saved(pairs.join(of("u", "had"), "u").join(of("v", "had"), "v").select("u", "v", "had_u", "had_v").mapInArrow(check, "u long, v long"), "similar")
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """node (key of a text's words), first (its smallest doc_id), component: groups linked at this Jaccard similarity or more.
-
-    Candidates are found by SimHash below radius(similarity) and checked on their whole sets of shingles.
-    Neighbours in Gray order are checked first; the index then leaves out pairs that these have joined.
-    """
-    most = radius(similarity)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, most=4 << 20):
-            found = strings(batch)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array([word_key(t) for t in found], pa.int64()), "print": pa.array(fingerprints(found, words).view(np.int64))})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    nodes = saved(rows.mapInArrow(hashed, "doc_id long, node long, print long").groupBy("node", "print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    links = similar(docs, nodes, _neighbour_links(nodes, most), words, similarity)
-    near = components(links)
-    found = saved(nodes.select("node", "print").join(near, "node", "left").withColumn("component", F.coalesce("component", "node")), "merged")
-    more = similar(docs, nodes, _index_links(found, patterns(nodes.count(), most), most, pairs=True), words, similarity)
-    last = components(links.unionByName(more))
-    return nodes.join(last, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a set of which one at least is in the prefix of every set of this Jaccard similarity, and how common each is.
-
-    A similar set has ceil(similarity * n) of the n, so of two sets in one order, rarest first, the first
-    n - ceil(similarity * n) + 1 meet. common (sorted) and counts only set the order: any order gives all pairs.
-    """
-    n = len(hashes)
-    had = np.zeros(n, np.int64)
-    if n and len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        had = np.where(common[at] == hashes, counts[at], 0)
-    first = np.lexsort((hashes, had))[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(0, np.int64)
-    return hashes[first], had[first]
-
-
-def key_pairs(group: np.ndarray, node: np.ndarray, component: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of nodes of a group, of different components, whose sizes allow the similarity. Groups are runs of rows."""
-    order = np.lexsort((size, group))
-    group, node, component, size = group[order], node[order], component[order], size[order]
-    end = np.searchsorted(group, group, "right")
-    out, rows, d = [np.zeros((2, 0), np.int64)], np.arange(len(group)), 1
-    while len(rows):
-        rows = rows[rows + d < end[rows]]
-        rows = rows[size[rows] >= similarity * size[rows + d] - 1e-6]  # sizes ascend: what is too long stays so
-        i = rows[component[rows] != component[rows + d]]
-        out.append(np.stack([np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])]))
-        d += 1
-    both = np.concatenate(out, axis=1)
-    both = both[:, np.lexsort(both)]
-    both = both[:, np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)]] if both.shape[1] else both
-    return both[0], both[1]
-
-
-def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes (sorted) of shingles that two or more of one document in COUNTED have, and how many."""
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, most=1 << 20):
-            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([shingle_set(t, words) for t in strings(batch)]).view(np.int64))})
-
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0).mapInArrow(listed, "key long")
-    found = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
-    keys, counts = np.asarray(found["key"]).view(np.uint64), np.asarray(found["n"])
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def prefix_pairs(rows: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """u, v: all pairs of nodes (found: node, first, component) of different components that can have this Jaccard similarity, as their prefixes meet.
-
-    Keys that many sets have, by the count of a sample, are cut into chunks (see _dealt); others are few rows each.
-    """
-    common, counts = common_shingles(rows, words)
-    chunk = CHUNK
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, most=1 << 20):
-            out = []
-            for text in strings(batch):
-                hashes = shingle_set(text, words)
-                key, had = prefix(hashes, common, counts, similarity)
-                out.append((key.view(np.int64), np.full(len(key), word_key(text)), np.full(len(key), len(hashes), np.int32), had * COUNTED * 2 > chunk))
-            key, node, size, hot = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key), "node": pa.array(node), "size": pa.array(size), "hot": pa.array(hot)})
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def links(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            of = np.stack(cols[2:5])
-            group = np.cumsum(np.r_[False, (of[:, 1:] != of[:, :-1]).any(0)])
-            u, v = key_pairs(group, cols[0], cols[-1] if len(cols) > 3 else cols[0], cols[1], similarity)
-            return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
-
-        for batch in batches:
-            held.append(tuple(np.asarray(c) for c in batch.columns))
-            if sum(len(h[0]) for h in held) < 1 << 17:
-                continue
-            cols = tuple(np.concatenate(c) for c in zip(*held, strict=True))
-            of = np.stack(cols[2:5])
-            ends = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(0))
-            cut = int(ends[-1]) + 1 if len(ends) else 0  # the last group may go on in the next batch
-            if cut:
-                yield links(tuple(c[:cut] for c in cols))
-            held = [tuple(c[cut:] for c in cols)]
-        if held and len(held[0][0]):
-            yield links(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    own = saved(rows.mapInArrow(keys, "key long, node long, size int, hot boolean"), "prefixes")
-    of = found.select("node", "component")
-    many = own.filter("hot").select("key", "node", "size").distinct().join(of, "node")
-    many = _dealt(saved(many, "hot"), ["key"], ["node", "component", "size"], "node")
-
-    def searched(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.repartition(shuffle_parts(rows.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(search, "u long, v long")
-
-    few = searched(own.filter("not hot").select("node", "size", "key"), "key").distinct()
-    name = lambda at: of.select(F.col("node").alias(at), F.col("component").alias("of_" + at))
-    few = few.join(name("u"), "u").join(name("v"), "v").filter("of_u != of_v").select("u", "v")
-    return few.unionByName(searched(many.select("node", "size", "key", "a", "b", "component"), "key", "a", "b"))
-
-
-def jaccard_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As similar_groups, but of all pairs at this Jaccard similarity or more, however far apart their fingerprints are.
-
-    Neighbours in Gray order are checked first; of what these have not joined, every pair whose prefixes
-    meet is checked.
-    """
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, most=1 << 20):
-            found = strings(batch)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array([word_key(t) for t in found], pa.int64()), "print": pa.array(fingerprints(found, words).view(np.int64))})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    nodes = saved(rows.mapInArrow(hashed, "doc_id long, node long, print long").groupBy("node", "print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    links = similar(docs, nodes, _neighbour_links(nodes, radius(similarity)), words, similarity)
-    found = nodes.select("node", "first").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = similar(docs, nodes, prefix_pairs(rows, saved(found, "merged"), words, similarity), words, similarity)
-    last = components(links.unionByName(more))
-    return nodes.join(last, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-
-
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, groups: Callable[..., DataFrame] = similar_groups) -> DataFrame:
-    """The rows of docs that are the first of their group (similar_groups or jaccard_groups), with their columns; of rows that repeat a doc_id one.
-
-    Texts without words are one group. Rows with a null doc_id stay.
-    """
-    first, at = "_first", "_nth"
-    while {first, at} & {c.lower() for c in docs.columns}:  # names that docs has not
-        first, at = "_" + first, "_" + at
-    found = groups(docs, words, similarity).groupBy("component").agg(F.min("first").alias(first)).select(first).distinct()
-    rows = docs.join(found, F.col("doc_id").cast("long") == F.col(first))
-    nth = F.row_number().over(Window.partitionBy(first).orderBy(first, F.xxhash64("text")))
-    return rows.withColumn(at, nth).filter(F.col(at) == 1).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    sent = paired.repartition(shuffle_parts(found.sparkSession), *key).sortWithinPartitions(*key)
+    return mapped(sent, search, "u long, v long")
 
 
 def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:

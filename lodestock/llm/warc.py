@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestock.llm.common import join_skewed, put_file, saved, scratch, sliced, strings
+from lodestock.llm.common import join_skewed, mapped, put_file, saved, scratch, sliced, strings
 
 #: Payloads under this length are always responses.
 LEAST = 100
@@ -160,7 +160,7 @@ def write_warc(pages: DataFrame, path: str, archive: int = ARCHIVE) -> DataFrame
         if held:
             yield flush()
 
-    return saved(known.mapInArrow(write, "part long, archive long, records long"), "warc-manifest")
+    return saved(mapped(known, write, "part long, archive long, records long"), "warc-manifest")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -173,7 +173,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([parse(x) for x in frames(data.as_py())], schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
-    return files.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(files, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ import corpus_pipeline
 from lodestock.llm.mixing import first_words, mixed_documents
 from lodestock.llm.quality import score_quality, train
 from lodestock.llm.secrets import redacted
-from lodestock.llm.simhash import one_of_each
+from lodestock.llm.similar import one_of_each
 from tests.llm.test_quality import make
-from tests.llm.test_simhash import slow_groups
+from tests.llm.test_similar import slow_groups
 
 
 def test_first_words():
@@ -54,7 +54,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     two = near(spark, one, str(tmp_path))
     held = one.collect()
     known = [r for r in held if r.doc_id is not None]
-    component = slow_groups([r.text or "" for r in known])
+    component, _ = slow_groups([r.text or "" for r in known])
     first = {}
     for r, c in zip(known, component, strict=True):
         first[c] = min(first.get(c, r.doc_id), r.doc_id)

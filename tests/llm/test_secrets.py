@@ -50,3 +50,8 @@ def test_rows_and_cases(spark):
     assert redacted("secret=token=abcdef0123456789abcdef0123") == "[SECRET]"
     assert not find_secrets(redacted(f"x ghp_{GOOD} password: abcdefgh"))
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and re.fullmatch("[0-9A-Za-z]{6}", GOOD[-6:])
+
+
+def test_redacting_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "my password=hunter22 ok", "a", "b", 23), (2, "plain", "c", "d", 5)], "doc_id long, text string, _chars string, __chars string, n_chars long")
+    assert sorted(map(tuple, redact(docs).collect())) == [(1, "my [SECRET] ok", "a", "b", 14), (2, "plain", "c", "d", 5)]
