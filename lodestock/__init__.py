@@ -6,3 +6,7 @@ import os
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 __version__ = "0.1.0"
+
+from lodestock.blas import one_thread
+
+one_thread()
