@@ -1,8 +1,9 @@
 """Restricted likelihood of a mixed model from its sufficient statistics.
 
-One or more traits, any pattern of missing ones, groups with covariance C and inverse relationship K, and
-residual covariance R. Value, score, average information, solutions and prediction error variances all
-come from the sums of products; no record is looked at again.
+One or more traits, any pattern of missing ones, groups with covariance C and inverse relationship K, terms of
+some traits only, and residual covariance R, of all records or of each residual class. Value, score, average
+information, solutions and prediction error variances all come from the sums of products; no record is looked
+at again.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from lodestock.plans.design import Design, Statistics, independent
 
 @dataclass
 class Parameter:
-    """One component: of a group (None: residual), at row a and column b of its matrix."""
+    """One component: of a group (None: residual, of class `block`), at row a and column b of its matrix."""
 
     name: str
     group: int | None
     a: int
     b: int
+    block: int = 0
 
 
 @dataclass
@@ -36,32 +38,53 @@ class Evaluation:
 
 
 class Likelihood:
-    def __init__(self, design: Design, patterns: dict[tuple[bool, ...], Statistics], kinv: list[np.ndarray | None]) -> None:
+    def __init__(self, design: Design, patterns: dict[tuple, Statistics], kinv: list[np.ndarray | None]) -> None:
         self.design, self.patterns = design, patterns
-        self.traits = len(design.formula.traits)
-        width, t = design.width, self.traits
+        traits = design.formula.traits
+        self.traits = t = len(traits)
+        width = design.width
+        #: By group, the (trait, coefficient) that its matrix is over.
+        self.pairs = [[(k, c) for k in range(t) for c in range(g.dim) if not (g.traits and g.traits[c]) or traits[k] in g.traits[c]] for g in design.groups]
         keep = np.zeros((t, width), bool)
         for k in range(t):
             xx = sum((s.ww[: design.p, : design.p] for m, s in patterns.items() if m[k]), np.zeros((design.p, design.p)))
-            keep[k, : design.p] = independent(xx)
-            keep[k, design.p :] = True
+            own = [not (design.fixed_traits and design.fixed_traits[c]) or traits[k] in design.fixed_traits[c] for c in range(design.p)]
+            keep[k, : design.p] = independent(np.where(np.outer(own, own), xx, 0.0))
+        for g, group in enumerate(design.groups):
+            for k, c in self.pairs[g]:
+                keep[k, group.columns(c)] = True
         self.kept = np.flatnonzero(keep.ravel())
         self.rank = int(keep[:, : design.p].sum())
         self.kinv = [np.eye(g.n) if k is None else k for g, k in zip(design.groups, kinv, strict=True)]
         self.log_kinv = [0.0 if k is None else np.linalg.slogdet(k)[1] for k in kinv]
         self.parameters: list[Parameter] = []
-        traits = design.formula.traits
-        at = (lambda name, trait: name) if t == 1 else (lambda name, trait: f"{name}@{trait}")
+        at = (lambda name, k: name) if t == 1 else (lambda name, k: f"{name}@{traits[k]}")
         for g, group in enumerate(design.groups):
-            own = [at(n, y) for y in traits for n in group.names]
-            self._add(own, g, lambda n: n)
-        self._add(["residual"] if t == 1 else [f"res@{y}" for y in traits], None, lambda n: n)
-        self.sizes = [g.dim * t for g in design.groups] + [t]
-
-    def _add(self, names: list[str], group: int | None, text) -> None:
+            self._add([at(group.names[c], k) for k, c in self.pairs[g]], g)
+        self.blocks = max(1, len(design.classes))
+        for block in range(self.blocks):
+            name = f"residual|{design.classes[block]}" if design.classes else "residual"
+            self._add([name] if t == 1 else [f"{name.replace('residual', 'res')}@{y}" for y in traits], None, block)
+        self.sizes = [*map(len, self.pairs), *[t] * self.blocks]
+        #: Records by residual class.
+        self.counts = np.array([sum(s.n for s in patterns.values() if s.block == block) for block in range(self.blocks)])
+
+    def _add(self, names: list[str], group: int | None, block: int = 0) -> None:
         for b in range(len(names)):
             for a in range(b, len(names)):
-                self.parameters.append(Parameter(f"var({names[a]})" if a == b else f"cov({names[a]},{names[b]})", group, a, b))
+                self.parameters.append(Parameter(f"var({names[a]})" if a == b else f"cov({names[a]},{names[b]})", group, a, b, block))
+
+    def split(self, theta: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The groups' matrices and the residual ones."""
+        every = self.matrices(theta)
+        return every[: len(self.pairs)], every[len(self.pairs) :]
+
+    def residual(self, theta: np.ndarray) -> np.ndarray:
+        """The residual matrix; of several classes the mean over the records."""
+        return np.tensordot(self.counts / max(1, self.counts.sum()), np.stack(self.split(theta)[1]), 1)
+
+    def _place(self, p: Parameter) -> int:
+        return len(self.pairs) + p.block if p.group is None else p.group
 
     @property
     def names(self) -> list[str]:
@@ -70,12 +93,12 @@ class Likelihood:
     def matrices(self, theta: np.ndarray) -> list[np.ndarray]:
         out = [np.zeros((s, s)) for s in self.sizes]
         for p, v in zip(self.parameters, theta, strict=True):
-            m = out[-1 if p.group is None else p.group]
+            m = out[self._place(p)]
             m[p.a, p.b] = m[p.b, p.a] = v
         return out
 
     def vector(self, matrices: list[np.ndarray]) -> np.ndarray:
-        return np.array([matrices[-1 if p.group is None else p.group][p.a, p.b] for p in self.parameters])
+        return np.array([matrices[self._place(p)][p.a, p.b] for p in self.parameters])
 
     def valid(self, theta: np.ndarray, floor: float = 1e-10) -> bool:
         scale = self.spread()
@@ -97,32 +120,34 @@ class Likelihood:
         out = [np.zeros((s, s)) for s in self.sizes]
         for k in range(self.traits):
             v = self.variance(k)
-            out[-1][k, k] = v / 2 if self.design.groups else v
-            for g, group in enumerate(self.design.groups):
-                for c in range(group.dim):
-                    a = k * group.dim + c
-                    out[g][a, a] = v / 2 / len(self.design.groups) / group.dim
+            own = [g for g, pairs in enumerate(self.pairs) if any(j == k for j, _ in pairs)]
+            for block in range(self.blocks):
+                out[len(self.pairs) + block][k, k] = v / 2 if own else v
+            for g in own:
+                places = [a for a, (j, _) in enumerate(self.pairs[g]) if j == k]
+                for a in places:
+                    out[g][a, a] = v / 2 / len(own) / len(places)
         return self.vector(out)
 
     def _columns(self, g: int, a: int) -> slice:
         group, width = self.design.groups[g], self.design.width
-        trait, c = divmod(a, group.dim)
+        trait, c = self.pairs[g][a]
         s = group.columns(c)
         return slice(trait * width + s.start, trait * width + s.stop)
 
-    def _residual_inverse(self, r0: np.ndarray, mask: tuple[bool, ...]) -> np.ndarray:
-        own = np.flatnonzero(mask)
+    def _residual_inverse(self, r0: np.ndarray, mask: tuple) -> np.ndarray:
+        own = np.flatnonzero(mask[: self.traits])
         out = np.zeros_like(r0)
         out[np.ix_(own, own)] = np.linalg.inv(r0[np.ix_(own, own)])
         return out
 
     def equations(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Coefficients without and with the groups' precision, right-hand side, and y'R^-1 y."""
-        *covs, r0 = self.matrices(theta)
+        covs, rs = self.split(theta)
         size = self.traits * self.design.width
         data, rhs, yy = np.zeros((size, size)), np.zeros(size), 0.0
         for m, s in self.patterns.items():
-            ri = self._residual_inverse(r0, m)
+            ri = self._residual_inverse(rs[s.block], m)
             data += np.kron(ri, s.ww)
             rhs += (s.wy @ ri).T.ravel()
             yy += float((ri * s.yy).sum())
@@ -139,21 +164,21 @@ class Likelihood:
         return self._solve(theta)[0]
 
     def _solve(self, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        *covs, r0 = self.matrices(theta)
+        covs, rs = self.split(theta)
         data, full, rhs, yy = self.equations(theta)
         c = full[np.ix_(self.kept, self.kept)]
         sol = np.zeros(len(rhs))
         sol[self.kept] = np.linalg.solve(c, rhs[self.kept])
         total = np.linalg.slogdet(c)[1] + yy - sol @ rhs
         for m, s in self.patterns.items():
-            own = np.flatnonzero(m)
-            total += s.n * np.linalg.slogdet(r0[np.ix_(own, own)])[1]
+            own = np.flatnonzero(m[: self.traits])
+            total += s.n * np.linalg.slogdet(rs[s.block][np.ix_(own, own)])[1]
         for g, cov in enumerate(covs):
             total += self.design.groups[g].n * np.linalg.slogdet(cov)[1] - len(cov) * self.log_kinv[g]
         return float(total), sol, c, data
 
     def evaluate(self, theta: np.ndarray) -> Evaluation:
-        *covs, r0 = self.matrices(theta)
+        covs, rs = self.split(theta)
         width = self.design.width
         total, sol, c, data = self._solve(theta)
         inverse = np.zeros((len(sol), len(sol)))
@@ -167,7 +192,7 @@ class Likelihood:
             t.append(np.array([[(self.kinv[g] * inverse[self._columns(g, a), self._columns(g, b)]).sum() for b in range(d)] for a in range(d)]))
         ee, ss, we, ris = {}, {}, {}, {}
         for m, s in self.patterns.items():
-            ris[m] = self._residual_inverse(r0, m)
+            ris[m] = self._residual_inverse(rs[s.block], m)
             fit = by_trait @ s.ww
             cross = by_trait @ s.wy
             ee[m] = s.yy - cross - cross.T + fit @ by_trait.T
@@ -189,10 +214,12 @@ class Likelihood:
                 works.append(data @ m_k)
                 residuals.append({"m": m_k})
             else:
-                e = np.zeros_like(r0)
+                e = np.zeros((self.traits, self.traits))
                 e[p.a, p.b] = e[p.b, p.a] = 1
                 work, parts = np.zeros((self.traits, width)), {}
                 for m, s in self.patterns.items():
+                    if s.block != p.block:
+                        continue
                     ri = ris[m]
                     score[k] += s.n * np.trace(ri @ e) - np.trace(ri @ e @ ri @ (ee[m] + ss[m]))
                     parts[m] = ri @ e @ ri
@@ -205,13 +232,14 @@ class Likelihood:
                 if "m" in a and "m" in b:
                     own = a["m"] @ works[j]
                 elif "r" in a and "r" in b:
-                    own = sum(np.trace(a["r"][m] @ b["e"] @ ris[m] @ ee[m]) for m in self.patterns)
+                    own = sum(np.trace(a["r"][m] @ b["e"] @ ris[m] @ ee[m]) for m in a["r"] if m in b["r"])
                 else:
                     own = (a["m"] @ works[j]) if "m" in a else (b["m"] @ works[i])
                 info[i, j] = info[j, i] = own - works[i] @ inverse @ works[j]
         em = [(q[g] + t[g]) / self.design.groups[g].n for g in range(len(covs))]
-        n = sum(s.n for s in self.patterns.values())
-        em.append(sum((ee[m] + ss[m] for m in self.patterns)) / n if len(self.patterns) == 1 else r0)
+        for block, r in enumerate(rs):
+            own = [m for m, s in self.patterns.items() if s.block == block]
+            em.append((ee[own[0]] + ss[own[0]]) / self.patterns[own[0]].n if len(own) == 1 else r)
         return Evaluation(theta, total, score, info, sol, inverse, self.vector(em))
 
 

@@ -5,11 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestock.session import written
 
+#: Entries of a matrix up to which it is multiplied on the driver (some tens of bytes each).
+DRIVER_ENTRIES = 5_000_000
+
 
 def one_triangle(triplets: DataFrame) -> None:
     """Both triangles of a symmetric matrix would count its entries twice: an error."""
@@ -130,28 +135,73 @@ def inv_pd(m: np.ndarray) -> np.ndarray:
     return half.T @ half
 
 
-def conjugate_gradients(triplets: DataFrame, b: DataFrame, tolerance: float = 1e-8, most: int = 2000, cut: int = 5) -> tuple[DataFrame, int, float]:
-    """((i, x), iterations, relative residual) of A x = b, matrix and vectors staying distributed.
+def conjugate_gradients(triplets: DataFrame, b: DataFrame, tolerance: float = 1e-8, most: int = 2000, here: int = DRIVER_ENTRIES) -> tuple[DataFrame, int, float]:
+    """((i, x), iterations, relative residual) of A x = b, preconditioned by the diagonal.
 
-    triplets: one triangle (i, j, x); b: (i, b). Preconditioned by the diagonal. An iteration is one join of
-    the matrix with the direction, one sum by row, and two scalars; every `cut` of them the state is
-    written, so lineage stays short and a lost executor costs a few iterations.
+    triplets: one triangle (i, j, x); b: (i, b). A matrix of up to `here` entries is multiplied by NumPy on
+    the driver; a larger one and its vectors stay distributed.
     """
     one_triangle(triplets)
-    full = written(triplets.select("i", "j", "x").unionByName(triplets.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "x")).repartition("j"), "matrix")
-    diagonal = triplets.filter("i = j").select("i", F.col("x").alias("m"))
-    state = diagonal.join(b.select("i", "b"), "i", "left").select("i", "m", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"))
-    state = written(state.withColumn("p", F.col("r") / F.col("m")), "state")
-    rz, norm = state.agg(F.sum(F.col("r") * F.col("p")), F.sum(F.col("r") * F.col("r"))).first()
-    start, k = norm or 0.0, 0
+    few = triplets.select("i", "j", "x").limit(here + 1).toArrow()
+    return _gradients_here(triplets, few, b, tolerance, most) if few.num_rows <= here else _gradients_there(triplets, b, tolerance, most)
+
+
+def _gradients_here(triplets: DataFrame, table: pa.Table, b: DataFrame, tolerance: float, most: int) -> tuple[DataFrame, int, float]:
+    i, j, x = (table[c].combine_chunks() for c in ("i", "j", "x"))
+    names = pc.unique(pa.chunked_array([i, j]))
+    i, j, x = np.asarray(pc.index_in(i, names)), np.asarray(pc.index_in(j, names)), np.asarray(x)
+    off = i != j
+    row, col, value = np.r_[i, j[off]], np.r_[j, i[off]], np.r_[x, x[off]]
+    order = np.argsort(row, kind="stable")
+    row, col, value = row[order], col[order], value[order]
+    heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    n = len(names)
+    diagonal = np.ones(n)
+    diagonal[i[~off]] = x[~off]
+    given = b.select("i", "b").toArrow()
+    r = np.zeros(n)
+    at = np.asarray(pc.fill_null(pc.index_in(given["i"].combine_chunks().cast(names.type), names), -1))
+    r[at[at >= 0]] = np.asarray(given["b"])[at >= 0]
+    solution, p, rz, k = np.zeros(n), r / diagonal, 0.0, 0
+    start = norm = float(r @ r)
+    rz = float(r @ p)
     while start and (norm / start) ** 0.5 >= tolerance and k < most:
-        product = full.join(state.select(F.col("i").alias("j"), "p"), "j").groupBy("i").agg(F.sum(F.col("x") * F.col("p")).alias("q"))
-        step = written(state.join(product, "i"), "step")
-        alpha = rz / step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        moved = step.select("i", "m", (F.col("x") + F.col("p") * alpha).alias("x"), (F.col("r") - F.col("q") * alpha).alias("r"), "p")
-        new, norm = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("m")), F.sum(F.col("r") * F.col("r"))).first()
-        state = moved.withColumn("p", F.col("r") / F.col("m") + F.col("p") * (new / rz))
+        q = np.zeros(n)
+        q[row[heads]] = np.add.reduceat(value * p[col], heads)
+        alpha = rz / float(p @ q)
+        solution += alpha * p
+        r -= alpha * q
+        z = r / diagonal
+        new, norm = float(r @ z), float(r @ r)
+        p = z + (new / rz) * p
         rz, k = new, k + 1
-        if k % cut == 0:
-            state = written(state, "state")
-    return state.select("i", "x"), k, (norm / start) ** 0.5 if start else 0.0
+    out = triplets.sparkSession.createDataFrame(pa.table({"i": names, "x": solution}))
+    return out, k, (norm / start) ** 0.5 if start else 0.0
+
+
+def _gradients_there(triplets: DataFrame, b: DataFrame, tolerance: float, most: int) -> tuple[DataFrame, int, float]:
+    """The same with matrix and vectors as tables.
+
+    All scalars of an iteration come from one aggregate over one written table, which holds the state and the
+    matrix times the preconditioned residual; the state that follows is expressions over it. So an iteration
+    is one join, one sum by row, one write and one aggregate, and a lost executor costs one iteration.
+    """
+    full = written(triplets.select("i", "j", "x").unionByName(triplets.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "x")).repartition("j"), "matrix")
+    state = triplets.filter("i = j").select("i", F.col("x").alias("m")).join(b.select("i", "b"), "i", "left")
+    zero = F.lit(0.0)
+    state = state.select("i", "m", zero.alias("x"), F.coalesce("b", zero).alias("r"), zero.alias("p"), zero.alias("s"))
+    start = norm = None
+    gamma, alpha, k = 0.0, 0.0, 0
+    while True:
+        state = state.withColumn("z", F.col("r") / F.col("m"))
+        product = full.join(state.select(F.col("i").alias("j"), "z"), "j").groupBy("i").agg(F.sum(F.col("x") * F.col("z")).alias("w"))
+        state = written(state.join(product, "i"), "state")
+        new, delta, norm = (v or 0.0 for v in state.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("w") * F.col("z")), F.sum(F.col("r") * F.col("r"))).first())
+        start = norm if start is None else start
+        if not start or (norm / start) ** 0.5 < tolerance or k >= most:
+            return state.select("i", "x"), k, (norm / start) ** 0.5 if start else 0.0
+        beta = new / gamma if k else 0.0
+        alpha = new / (delta - beta * new / alpha) if k else new / delta
+        gamma, k = new, k + 1
+        p, s = F.col("z") + F.col("p") * beta, F.col("w") + F.col("s") * beta
+        state = state.select("i", "m", (F.col("x") + p * alpha).alias("x"), (F.col("r") - s * alpha).alias("r"), p.alias("p"), s.alias("s"))

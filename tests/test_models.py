@@ -186,9 +186,10 @@ def test_linear_algebra(spark):
     want = np.linalg.solve(a, np.arange(12.0))
     assert all(r.x == pytest.approx(want[r.i]) for r in sparse_solve(triplets, b).collect())
     few = a[:4, :4]
-    x, n, left = conjugate_gradients(triplets.filter("i < 4 and j < 4"), b.filter("i < 4"), 1e-10, cut=3)
     near = np.linalg.solve(few, np.arange(4.0))
-    assert n <= 4 and left < 1e-10 and all(r.x == pytest.approx(near[r.i], abs=1e-8) for r in x.collect())
+    for here in (0, 1000):  # as tables, and on the driver
+        x, n, left = conjugate_gradients(triplets.filter("i < 4 and j < 4"), b.filter("i < 4"), 1e-10, here=here)
+        assert n <= 4 and left < 1e-10 and all(r.x == pytest.approx(near[r.i], abs=1e-8) for r in x.collect())
     assert selected_inverse(triplets).count() >= len(entries)
     with pytest.raises(ValueError):
         sparse_solve(triplets.unionByName(triplets.selectExpr("j as i", "i as j", "x")), b)
