@@ -69,7 +69,7 @@ def _sample(lik: Likelihood, prior: str | HalfT, n_iter: int, burnin: int, thin:
                 q = u.T @ lik.kinv[g] @ u
                 own: str | HalfT = prior
                 if prior == "flat" and n <= 2 * d + 2:
-                    own = HalfT()
+                    raise ValueError(f"{lik.design.groups[g].name} has {n} levels: under a flat prior its covariance has no proper posterior; use half_t()")
                 if isinstance(own, HalfT):
                     inverse = np.linalg.inv(cov)
                     scale = own.scale * spread
@@ -100,7 +100,7 @@ def gibbs(formula: str, df: DataFrame, pedigree: DataFrame | None = None, n_iter
     design = build(df, f, fam.ids if fam else None)
     patterns = statistics(design)
     related = fam.inverse() if fam else None
-    design.rows = None  # tasks get the sums only
+    design.cells = None  # tasks get the sums only
     lik = Likelihood(design, patterns, [related if g.relationship else None for g in design.groups])
     fixed = None if theta is None else np.array([theta.get(n, 0.0) for n in lik.names])
 
@@ -162,9 +162,9 @@ def _plain_rhat(x: np.ndarray) -> float:
 
 
 def rhat(x: np.ndarray) -> float:
-    """Rank-normalised split R-hat: the larger of bulk and tail. x: chains x draws."""
-    x = _split(np.atleast_2d(x))
-    return max(_plain_rhat(_normal_ranks(x)), _plain_rhat(_normal_ranks(np.abs(x - np.median(x)))))
+    """Rank-normalised split R-hat: the larger of bulk and tail, the distances from the median of all draws. x: chains x draws."""
+    x = np.atleast_2d(x)
+    return max(_plain_rhat(_normal_ranks(_split(y))) for y in (x, np.abs(x - np.median(x))))
 
 
 def _autocovariance(x: np.ndarray) -> np.ndarray:
@@ -175,26 +175,79 @@ def _autocovariance(x: np.ndarray) -> np.ndarray:
 
 
 def ess(x: np.ndarray) -> float:
-    """Effective sample size of pooled chains by the initial monotone sequence of paired autocorrelations."""
+    """Effective sample size of pooled chains: Geyer's initial positive sequence of paired autocorrelations, made monotone, and the even lag after it."""
     x = np.atleast_2d(x)
     m, n = x.shape
-    if n < 4 or x.var() == 0:
+    if n < 3 or not np.isfinite(x).all() or x.max() == x.min():
         return math.nan
-    cov = np.stack([_autocovariance(c) for c in x])
-    within = (cov[:, 0] * n / (n - 1)).mean()
-    total = within * (n - 1) / n + (x.mean(1).var(ddof=1) if m > 1 else 0.0)
-    rho = 1 - (within - cov.mean(0) * n / (n - 1)) / total
+    cov = np.stack([_autocovariance(c) for c in x]).mean(0)
+    within = cov[0] * n / (n - 1)
+    total = cov[0] + (x.mean(1).var(ddof=1) if m > 1 else 0.0)
+    rho = 1 - (within - cov) / total
+    rho[0] = 1.0
     pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(1)
-    pairs[0] = 1 + rho[1]
-    stop = np.flatnonzero(pairs <= 0)
-    pairs = np.minimum.accumulate(pairs[: stop[0] if len(stop) else len(pairs)])
-    tau = max(2 * pairs.sum() - 1, 1 / math.log10(m * n))
-    return float(m * n / tau)
+    # pairs are taken up to the first that is not positive, or as far as the chain is long enough to tell
+    end, last = 0, max(0, -(-(n - 5) // 2))
+    while end < min(last, len(pairs) - 1) and pairs[end] > 0:
+        end += 1
+    even = rho[2 * end] if end == 0 or pairs[end] >= 0 or rho[2 * end] > 0 else 0.0
+    summed = np.minimum.accumulate(pairs[:end]).sum() if end else 1.0
+    return float(m * n / max(2 * summed - 1 + even, 1 / math.log10(m * n)))
+
+
+def ess_quantile(x: np.ndarray, p: float) -> float:
+    """The effective sample size of the indicator of values up to the quantile p."""
+    return ess(_split((np.atleast_2d(x) <= np.quantile(x, p)).astype(float)))
 
 
 def mcse(x: np.ndarray) -> float:
     """Standard error of the mean of the draws."""
-    return float(np.std(x, ddof=1) / math.sqrt(ess(x)))
+    return float(np.std(x, ddof=1) / math.sqrt(ess(_split(np.atleast_2d(x)))))
+
+
+def mcse_sd(x: np.ndarray) -> float:
+    """Standard error of the standard deviation of the draws, by that of their squared distances from the mean."""
+    square = (np.atleast_2d(x) - np.mean(x)) ** 2
+    mean = square.mean()
+    return float(math.sqrt(((square**2).mean() - mean**2) / ess(_split(square)) / mean / 4))
+
+
+def pairwise_rhat(x: np.ndarray) -> np.ndarray:
+    """R-hat of each pair of chains; a chain whose smallest one is large agrees with no other."""
+    x = np.atleast_2d(x)
+    out = np.full((len(x), len(x)), math.nan)
+    for i in range(len(x)):
+        for j in range(i):
+            out[i, j] = out[j, i] = rhat(x[[i, j]])
+    return out
+
+
+def pareto_k(x: np.ndarray) -> float:
+    """The larger shape of generalised Pareto distributions fitted to both tails of the draws (Zhang and Stephens' estimator, shrunk to one half as by ten draws)."""
+    flat = np.sort(np.ravel(x))
+    size = len(flat)
+    n = math.ceil(min(0.2 * size, 3 * math.sqrt(size)))
+    if n < 5 or flat[0] == flat[-1]:
+        return math.nan
+    found = []
+    for tail in (flat[-n:] - flat[-n - 1], (flat[n] - flat[:n])[::-1]):
+        tail = np.maximum(tail, 1e-300)
+        grid = 30 + int(math.sqrt(n))
+        quarter = tail[int(n / 4 + 0.5) - 1]
+        b = 1 / tail[-1] + (1 - np.sqrt(grid / (np.arange(1, grid + 1) - 0.5))) / (3 * quarter)
+        k = np.log1p(-b[:, None] * tail[None, :]).mean(1)
+        value = n * (np.log(-b / k) - k - 1)
+        weight = 1 / np.exp(value[None, :] - value[:, None]).sum(1)
+        best = float(weight @ b)
+        shape = float(np.log1p(-best * tail).mean())
+        found.append((n * shape + 10 * 0.5) / (n + 10))
+    return max(found)
+
+
+def boundary_share(draws: np.ndarray, least: float = 1e-6) -> float:
+    """Share of drawn covariance matrices (draws x d x d) whose correlations have an eigenvalue under `least`."""
+    scale = np.sqrt(np.maximum(np.diagonal(draws, axis1=1, axis2=2), 1e-300))
+    return float((np.linalg.eigvalsh(draws / (scale[:, :, None] * scale[:, None, :]))[:, 0] < least).mean())
 
 
 def geweke_z(x: np.ndarray, first: float = 0.1, last: float = 0.5) -> float:
@@ -241,16 +294,17 @@ def multivariate_rhat(x: np.ndarray) -> float:
 
 
 def diagnostics(draws: DataFrame, probs: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
-    """One row a parameter: mean, sd, quantiles, rhat, ess, tail ess, mcse, geweke, verdict. Each parameter's draws are one group."""
-    schema = "parameter string, mean double, sd double, low double, high double, rhat double, ess double, tail_ess double, mcse double, geweke double, verdict string"
+    """One row a parameter: mean, sd, quantiles, rhat, ess (of normal scores), tail ess, mcse of mean and sd, the tails' shape, the largest of the chains' smallest pairwise R-hats, geweke, verdict. Each parameter's draws are one group."""
+    schema = "parameter string, mean double, sd double, low double, high double, rhat double, ess double, tail_ess double, mcse double, mcse_sd double, pareto_k double, isolated double, geweke double, verdict string"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([c.sort_values("iteration")["value"].to_numpy() for _, c in pdf.groupby("chain")])
         low, high = np.quantile(x, probs)
-        r, e, g = rhat(x), ess(_split(x)), geweke_z(x)
-        tail = min(ess(_split((x <= low).astype(float))), ess(_split((x <= high).astype(float))))
-        verdict = "not mixed" if r > 1.05 else "burn-in" if abs(g) > 3 else "run longer" if r > 1.01 or e < 100 * len(x) else "ok"
-        return pd.DataFrame([[pdf["parameter"].iloc[0], x.mean(), x.std(ddof=1), low, high, r, e, tail, mcse(x), g, verdict]], columns=[f.split()[0] for f in schema.split(", ")])
+        r, e, g = rhat(x), ess(_normal_ranks(_split(x))), geweke_z(x)
+        tail = min(ess_quantile(x, p) for p in probs)
+        apart = float(np.nanmin(pairwise_rhat(x), axis=1).max()) if len(x) > 1 else math.nan
+        verdict = "not mixed" if r > 1.05 or apart > 1.05 else "burn-in" if abs(g) > 3 else "run longer" if r > 1.01 or min(e, tail) < 100 * len(x) else "ok"
+        return pd.DataFrame([[pdf["parameter"].iloc[0], x.mean(), x.std(ddof=1), low, high, r, e, tail, mcse(x), mcse_sd(x), pareto_k(x), apart, g, verdict]], columns=[f.split()[0] for f in schema.split(", ")])
 
     return draws.groupBy("parameter").applyInPandas(one, schema)
 

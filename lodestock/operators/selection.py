@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestock.session import written
+
 
 def selection_index(evaluations: list[DataFrame], weights: list[float], standardize: bool = True) -> DataFrame:
     """id, index: the weighted sum of evaluations (each id, ebv) of animals that have all of them, by default in standard deviations."""
@@ -26,31 +28,49 @@ def selection_index(evaluations: list[DataFrame], weights: list[float], standard
 def ranks(df: DataFrame, name: str) -> DataFrame:
     """df with `rank_<name>`, 1 for the largest, ties averaged.
 
-    Values are counted first, so the ordered window sees one row a distinct value; rows are not gathered.
+    Values are counted, dealt by range and ranked within their range; the ranges' sums, a row each, are the
+    driver's. So no task orders all values.
     """
-    counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(F.desc(name)).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.select(F.col(name).alias("_v"), (upto - (F.col("_n") - 1) / 2).alias(f"rank_{name}"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(F.col(name).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = written(counts.repartitionByRange(n, F.desc("_v")).withColumn("_p", F.spark_partition_id()), "ranks")
+    before, total = [], 0
+    for r in dealt.groupBy("_p").agg(F.sum("_n").alias("n")).orderBy("_p").collect():
+        before.append((r["_p"], total))
+        total += r.n
+    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    offsets = df.sparkSession.createDataFrame(before, "_p int, _b long")  # a row a partition
+    placed = dealt.withColumn("_u", upto).join(F.broadcast(offsets), "_p").select("_v", (F.col("_b") + F.col("_u") - (F.col("_n") - 1) / 2).alias(f"rank_{name}"))
     return df.join(placed, F.col(name) == F.col("_v")).drop("_v")
 
 
+def in_all(tables: list[DataFrame], without: DataFrame | None = None) -> DataFrame:
+    """The ids that all tables have and `without` has not, each once."""
+    ids = reduce(lambda a, b: a.join(b.select("id"), "id", "left_semi"), [t.select("id") for t in tables]).distinct()
+    return ids if without is None else ids.join(without.select("id"), "id", "left_anti")
+
+
+def top(df: DataFrame, name: str, most: int) -> DataFrame:
+    """The ids of the largest values, ties by id."""
+    return df.orderBy(F.desc(name), "id").limit(most).select("id")
+
+
 def common_ranks(old: DataFrame, new: DataFrame) -> DataFrame:
     """id, old, new, rank_old, rank_new of animals in both evaluations (each id, ebv)."""
     rows = old.select("id", F.col("ebv").alias("old")).join(new.select("id", F.col("ebv").alias("new")), "id")
     return ranks(ranks(rows, "old"), "new")
 
 
-def rank_drift(old: DataFrame, new: DataFrame, top: int = 100) -> DataFrame:
+def rank_drift(old: DataFrame, new: DataFrame, most: int = 100) -> DataFrame:
     """One row: n_common, pearson, spearman, top, retained - how many of the old top are in the new one (ties by id)."""
     rows = common_ranks(old, new)
     n = rows.count()
     if n < 3:
         raise ValueError(f"{n} animals in common")
-    top = min(top, n)
-    first = rows.orderBy(F.desc("old"), "id").limit(top).select("id")
-    kept = rows.orderBy(F.desc("new"), "id").limit(top).select("id").join(first, "id").agg(F.count(F.lit(1)).alias("retained"))
+    most = min(most, n)
+    kept = top(rows, "new", most).join(top(rows, "old", most), "id").agg(F.count(F.lit(1)).alias("retained"))
     found = rows.agg(F.count(F.lit(1)).alias("n_common"), F.corr("old", "new").alias("pearson"), F.corr("rank_old", "rank_new").alias("spearman"))
-    return found.crossJoin(kept).withColumn("top", F.lit(top))
+    return found.crossJoin(kept).withColumn("top", F.lit(most))
 
 
 def rank_movers(old: DataFrame, new: DataFrame, most: int = 10) -> DataFrame:

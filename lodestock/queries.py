@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestock import functions as fn
@@ -20,6 +20,7 @@ from lodestock.operators import pedigree as pg
 from lodestock.operators import quality as ql
 from lodestock.operators import selection as sl
 from lodestock.operators import single_step as ss
+from lodestock.plans.formula import parse
 from lodestock.session import shared_folder, written
 from lodestock.sources import read_plink, read_plink_raw, read_snp_lines, simulate_population, write_plink
 
@@ -103,9 +104,18 @@ def qc_fences(spark, sf_dir):
     return rounded(ql.fences(table(spark, sf_dir, "events"), "value"), "q25", "q75", "low", "high")
 
 
-@query(f"SELECT event_type, n_observed, round(q25 - 1.5 * (q75 - q25), 6) + 0.0 AS low, round(q75 + 1.5 * (q75 - q25), 6) + 0.0 AS high FROM ({_FENCE.format(by='event_type,', group='GROUP BY event_type')})")
+_CLASSES = "SELECT event_id, value, CASE WHEN event_id < 500 THEN event_id // 5 ELSE 1000000 + event_id // 20 END AS k FROM events"
+
+
+@query(f"""
+WITH c AS ({_CLASSES}), own AS (SELECT k, count(value) AS n, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM c GROUP BY k), whole AS (SELECT quantile_cont(value, 0.25) AS qa, quantile_cont(value, 0.75) AS qb FROM events),
+f AS (SELECT event_id, value, CASE WHEN n >= 8 THEN a ELSE qa END AS a, CASE WHEN n >= 8 THEN b ELSE qb END AS b FROM c JOIN own USING (k), whole)
+SELECT event_id, value FROM f WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)""")
 def qc_fence_by(spark, sf_dir):
-    return rounded(ql.fences(table(spark, sf_dir, "events"), "value", 1.5, "event_type"), "low", "high").select("event_type", "n_observed", "low", "high")
+    """Outliers by fences of classes; classes of five records take the fences of all."""
+    k = F.when(F.col("event_id") < 500, F.expr("event_id div 5")).otherwise(F.expr("1000000 + event_id div 20"))
+    df = table(spark, sf_dir, "events").select("event_id", "value", F.col("value").alias("y"), k.alias("k"))
+    return ql.qc_phenotypes(df, "y", fence=1.5, fence_by="k").data.filter("y is null").select("event_id", "value")
 
 
 @query(f"SELECT event_id, value FROM events, ({_FENCE.format(by='', group='')}) WHERE value < q25 - 1.5 * (q75 - q25) OR value > q75 + 1.5 * (q75 - q25)")
@@ -337,14 +347,9 @@ def qc_genotypes_fixpoint(spark, sf_dir):
     return spark.createDataFrame(out.removed or [("none", "", "", 0)], "kind string, name string, reason string, step int")
 
 
-@query(f"WITH {_GENO}, {_SIRES} SELECT s.id AS id, s.parent, 'sire' AS role, count(*) AS n_both, count(*) FILTER (abs(a.dosage - b.dosage) = 2) AS n_opposite, count(*) FILTER (abs(a.dosage - b.dosage) = 2) / CAST(count(*) AS DOUBLE) > 0.01 AS conflict FROM (SELECT CAST(id AS VARCHAR) AS id, CAST(sire AS VARCHAR) AS parent FROM sires WHERE sire IS NOT NULL) s JOIN geno a ON a.id = s.id JOIN geno b ON b.id = s.parent AND b.marker = a.marker WHERE a.dosage IS NOT NULL AND b.dosage IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {_GENO}, {_SIRES} SELECT s.id AS id, s.parent, 'sire' AS role, count(*) AS n_both, count(*) FILTER (abs(a.dosage - b.dosage) = 2) AS n_opposite, round(count(*) FILTER (abs(a.dosage - b.dosage) = 2) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS rate, count(*) FILTER (abs(a.dosage - b.dosage) = 2) / CAST(count(*) AS DOUBLE) > 0.01 AS conflict FROM (SELECT CAST(id AS VARCHAR) AS id, CAST(sire AS VARCHAR) AS parent FROM sires WHERE sire IS NOT NULL) s JOIN geno a ON a.id = s.id JOIN geno b ON b.id = s.parent AND b.marker = a.marker WHERE a.dosage IS NOT NULL AND b.dosage IS NOT NULL GROUP BY 1, 2")
 def parentage(spark, sf_dir):
-    return gt.parentage_check(sire_lines(spark, sf_dir), genotypes(spark, sf_dir)).drop("rate")
-
-
-@query(f"WITH {_GENO} SELECT min(id) AS first, count(*) AS n FROM (SELECT id, string_agg(CAST(coalesce(dosage, 5) AS VARCHAR), '' ORDER BY marker) AS codes FROM geno WHERE CAST(marker AS INT) < 4 GROUP BY id) GROUP BY codes HAVING count(*) > 1")
-def dup_genotypes(spark, sf_dir):
-    return gt.duplicates(genotypes(spark, sf_dir).filter("cast(marker as int) < 4"))
+    return rounded(gt.parentage_check(sire_lines(spark, sf_dir), genotypes(spark, sf_dir)), "rate")
 
 
 @query(f"""WITH {_GENO}, planted AS (SELECT * FROM geno UNION ALL SELECT 'c' || id, marker, dosage FROM geno WHERE CAST(id AS BIGINT) % 25 = 1)
@@ -364,10 +369,9 @@ def g_matrix(spark, sf_dir):
     return rounded(gt.g_matrix(genotypes(spark, sf_dir)), "x")
 
 
-@query(f"WITH {_GENO} SELECT id, round(sum((coalesce(dosage, 2 * p) - 1) ^ 2) / (count(*) / 2.0::DOUBLE), 6) + 0.0 AS x FROM geno JOIN stats USING (marker) GROUP BY id")
-def g05_diagonal(spark, sf_dir):
-    rows, half = gt.centred(genotypes(spark, sf_dir), plain=True)
-    return rows.groupBy("id").agg(r6(F.sum(F.col("z") * F.col("z")) / half).alias("x"))
+@query(f"WITH {_GENO}, z AS (SELECT id, marker, coalesce(dosage, 2 * p) - 1 AS z FROM geno JOIN stats USING (marker)) SELECT a.id AS i, b.id AS j, round(sum(a.z * b.z) / (count(*) / 2.0::DOUBLE), 6) + 0.0 AS x FROM z a JOIN z b ON a.marker = b.marker AND a.id >= b.id GROUP BY 1, 2")
+def g05_matrix(spark, sf_dir):
+    return rounded(gt.g05_matrix(genotypes(spark, sf_dir)), "x")
 
 
 @query(f"WITH {_GENO}, {_CENTRED}, g AS (SELECT a.id AS i, b.id AS j, sum(a.z * b.z) / s AS x FROM z a JOIN z b ON a.marker = b.marker AND a.id >= b.id, scale GROUP BY 1, 2, s), m AS (SELECT avg(x) FILTER (i = j) AS gd, avg(x) FILTER (i <> j) AS go FROM g) SELECT round(0 - (1 / (gd - go)) * go, 6) + 0.0 AS a, round(1 / (gd - go), 6) + 0.0 AS b FROM m")
@@ -439,6 +443,57 @@ def accuracy_iid(spark, sf_dir):
     return rounded(mx.solutions(fit), "acc").select("id", "acc")
 
 
+_SIRE_FAMILIES = """o AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id, 'c' || CAST(o_custkey AS VARCHAR) AS sire, o_totalprice / 1000 AS y FROM orders),
+g AS (SELECT sire, avg(y) AS m, count(*) / (count(*) + 9.0) AS w FROM o GROUP BY sire), m AS (SELECT sum(w * m) / sum(w) AS mu FROM g), s AS (SELECT sire, w * (m - mu) AS s, mu FROM g, m)"""
+
+
+@query(f"WITH {_SIRE_FAMILIES} SELECT id, round(s + (y - mu - s) / 3, 4) + 0.0 AS ebv FROM o JOIN s USING (sire) UNION ALL SELECT sire, round(2 * s, 4) + 0.0 FROM s")
+def blup_sire_families(spark, sf_dir):
+    """An animal model of orders by unrelated customers: half sibs, a record each. Beyond 12,000 animals conjugate gradients solve it."""
+    orders = table(spark, sf_dir, "orders")
+    df = orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("sire"), (F.col("o_totalprice") / 1000).alias("y"))
+    none = F.lit(None).cast("string").alias("dam")
+    ped = df.select("id", "sire", none).unionByName(df.select(F.col("sire").alias("id")).distinct().select("id", F.lit(None).cast("string").alias("sire"), none))
+    fit = mx.model("y ~ animal(id)", df, ped, start={"var(animal)": 4.0, "var(residual)": 6.0}, most=0, tolerance=1e-13, checks=False)
+    return mx.solutions(fit).select("id", (F.round("ebv", 4) + F.lit(0.0)).alias("ebv"))
+
+
+@query("""WITH c AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round(1.0 / n, 8) + 0.0 AS leverage, round((l_quantity - m) / sqrt(200.0), 6) + 0.0 AS pearson, round((l_quantity - m) / sqrt(200.0 * (1 - 1.0 / n)), 6) + 0.0 AS standardized FROM lineitem JOIN c USING (l_returnflag)""")
+def residual_types(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    fit = mx.model("l_quantity ~ l_returnflag", df, start={"var(residual)": 200.0}, most=0)
+    out = mx.residuals(fit, df).select("l_orderkey", "l_linenumber", (F.round("leverage", 8) + F.lit(0.0)).alias("leverage"), "pearson", "standardized")
+    return rounded(out, "pearson", "standardized")
+
+
+@query("SELECT " + ", ".join(f"(SELECT round(sum(l_quantity / v) / sum(1 / v), 6) + 0.0 FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN 100.0::DOUBLE ELSE 300.0 END AS v FROM lineitem) WHERE l_returnflag = '{c}') AS {c.lower()}" for c in "ANR"))
+def residual_classes(spark, sf_dir):
+    """Class means where records of two classes have residual variances of their own."""
+    fit = mx.model("l_quantity ~ l_returnflag", _lines(spark, sf_dir), start={"var(residual|F)": 100.0, "var(residual|O)": 300.0}, most=0, residual_by="l_linestatus")
+    b = {r.effect: r.estimate for r in fit.coefficients().collect()}
+    return spark.createDataFrame([tuple(round(b["(Intercept)"] + b.get(f"l_returnflag={c}", 0.0), 6) for c in "ANR")], "a double, n double, r double")
+
+
+@query(f"WITH g AS ({_ONE_WAY}), m AS (SELECT sum(w * m) / sum(w) AS mu FROM g) SELECT id, round(w * (m - mu), 6) + 0.0 AS ebv FROM g, m")
+def traits_of_a_term(spark, sf_dir):
+    """Two traits, a random term in one of them, and no residual covariance: each trait is on its own."""
+    start = {"var(l_suppkey@l_quantity)": 20.0, "var(res@l_quantity)": 200.0, "cov(res@l_tax,res@l_quantity)": 0.0, "var(res@l_tax)": 0.001}
+    fit = mx.model("cbind(l_quantity, l_tax) ~ random(l_suppkey, traits='l_quantity')", _lines(spark, sf_dir), start=start, most=0)
+    return rounded(mx.solutions(fit, trait="l_quantity"), "ebv").select("id", "ebv")
+
+
+_BALANCED = "g AS (SELECT event_id % 20 AS k, count(*) AS n, avg(value + event_id % 20 * 7) AS m, var_samp(value + event_id % 20 * 7) AS v FROM events GROUP BY 1), a AS (SELECT max(n) AS n, avg(v) AS within, var_samp(m) * max(n) AS between FROM g)"
+
+
+@query(f"WITH {_BALANCED} SELECT 'var(k)' AS component, round((between - within) / n, 3) + 0.0 AS estimate FROM a UNION ALL SELECT 'var(residual)', round(within, 3) + 0.0 FROM a")
+def reml_balanced(spark, sf_dir):
+    """Components of a balanced one-way layout, which are those of the analysis of variance."""
+    df = table(spark, sf_dir, "events").select((F.col("event_id") % 20).cast("string").alias("k"), (F.col("value") + F.col("event_id") % 20 * 7).alias("y"))
+    fit = mx.model("y ~ random(k)", df, tolerance=1e-12)
+    return fit.components().select("component", (F.round("estimate", 3) + F.lit(0.0)).alias("estimate"))
+
+
 @query("WITH g AS (SELECT CAST(l_suppkey AS VARCHAR) AS id, sum(l_linenumber) AS n, sum(l_quantity * l_linenumber) / sum(l_linenumber) AS m, sum(l_linenumber) / (sum(l_linenumber) + 10.0) AS w FROM lineitem GROUP BY l_suppkey), m AS (SELECT sum(w * m) / sum(w) AS mu FROM g) SELECT id, round(w * (m - mu), 6) + 0.0 AS ebv FROM g, m")
 def weighted_blup(spark, sf_dir):
     fit = mx.model("l_quantity ~ random(l_suppkey)", _lines(spark, sf_dir), start={"var(l_suppkey)": 20.0, "var(residual)": 200.0}, most=0, weights="l_linenumber")
@@ -476,8 +531,6 @@ def xty(spark, sf_dir):
 
 
 def _design(spark, sf_dir):
-    from lodestock.plans.formula import parse
-
     design = mx.build(_lines(spark, sf_dir), parse("l_quantity ~ l_returnflag + cov(l_discount)"))
     return design, [n.replace("(Intercept)", "mean").replace("l_returnflag=", "flag=").replace("l_discount", "discount") for n in design.fixed]
 
@@ -525,7 +578,7 @@ def single_step_blup(spark, sf_dir):
 @query()
 def snp_blup_effects(spark, sf_dir):
     geno, ped, records = _genotyped(spark, sf_dir)
-    _, effects = ss.snp_blup("y ~ animal(id)", records, ped, geno, {"var(animal)": 20.0, "var(residual)": 180.0})
+    _, effects = ss.snp_blup("y ~ animal(id)", records, ped, geno, {"var(animal)": 20.0, "var(residual)": 180.0}, least=0)
     return spark.createDataFrame([(k, float(a)) for k, a in enumerate(effects)], "marker int, effect double")
 
 
@@ -540,7 +593,14 @@ def _genotyped(spark, sf_dir):
 
 def _single_step(spark, sf_dir):
     geno, ped, records = _genotyped(spark, sf_dir)
-    return ss.single_step("y ~ animal(id)", records, ped, geno, start={"var(animal)": 20.0, "var(residual)": 180.0}, most=0)
+    return ss.single_step("y ~ animal(id)", records, ped, geno, start={"var(animal)": 20.0, "var(residual)": 180.0}, most=0, least=0)
+
+
+@query(f"""WITH {_GENO}, {_CENTRED}, c AS (SELECT marker, z FROM z WHERE id = '1'), g AS (SELECT z.id, sum(z.z * c.z) AS x, sum(z.z * z.z) AS d FROM z JOIN c USING (marker) GROUP BY z.id), own AS (SELECT sum(z * z) / s + 0.01 AS cc FROM c, scale GROUP BY s)
+SELECT id, round(d / s + 0.01 - (x / s) ^ 2 / cc, 6) + 0.0 AS m, round((x / s) / cc, 6) + 0.0 AS p FROM g, scale, own WHERE id <> '1'""")
+def apy_one_core(spark, sf_dir):
+    """The core approximation with a core of one animal, which has a closed form."""
+    return rounded(ss.apy_blocks(genotypes(spark, sf_dir), ["1"])[1].select("id", "m", F.col("p")[0].alias("p")), "m", "p")
 
 
 @query()
@@ -562,7 +622,7 @@ def apy_core_size(spark, sf_dir):
 @query()
 def h_inverse_matrix(spark, sf_dir):
     geno, ped, _ = _genotyped(spark, sf_dir)
-    ids, inverse, _, _ = ss.h_inverse(pg.Family(ped), geno)
+    ids, inverse, _, _ = ss.h_inverse(pg.Family(ped), geno, least=0)
     return ss.table_of(spark, ids, inverse)
 
 
@@ -599,6 +659,11 @@ def chain_diagnostics(spark, sf_dir):
     return ch.diagnostics(_chains(spark, sf_dir))
 
 
+@query("SELECT 'value' AS parameter, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS sd, round(quantile_cont(value, 0.05), 6) + 0.0 AS low, round(quantile_cont(value, 0.95), 6) + 0.0 AS high FROM events")
+def chain_moments(spark, sf_dir):
+    return rounded(ch.diagnostics(_chains(spark, sf_dir)), "mean", "sd", "low", "high").select("parameter", "mean", "sd", "low", "high")
+
+
 def _chains(spark, sf_dir) -> DataFrame:
     return ch.numbered(table(spark, sf_dir, "events"), F.col("event_id") % 4, "event_id", "value")
 
@@ -608,16 +673,25 @@ def rhat_classic(spark, sf_dir):
     return rounded(ch.classic_rhat(_chains(spark, sf_dir)), "rhat")
 
 
-@query("SELECT i, round(x, 6) + 0.0 AS x FROM (SELECT s_suppkey AS i, s_acctbal / (2.0 + s_suppkey % 3) AS x FROM supplier)")
+@query("SELECT 2 * s_suppkey AS i, round((2 * s_acctbal - s_nationkey) / 5, 6) + 0.0 AS x FROM supplier UNION ALL SELECT 2 * s_suppkey + 1, round((3 * s_nationkey - s_acctbal) / 5, 6) + 0.0 FROM supplier")
 def conjugate_gradients(spark, sf_dir):
+    """Blocks [[3, 1], [1, 2]] for each supplier."""
+    k = F.col("s_suppkey").cast("long") * 2
+    entry = lambda i, j, x: F.struct(i.alias("i"), j.alias("j"), F.lit(x).alias("x"))
     sup = table(spark, sf_dir, "supplier")
-    a = sup.select(F.col("s_suppkey").alias("i"), F.col("s_suppkey").alias("j"), (F.lit(2.0) + F.col("s_suppkey") % 3).alias("x"))
-    x, _, _ = la.conjugate_gradients(a, sup.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("b")), 1e-12)
-    return rounded(x, "x")
+    a = sup.select(F.inline(F.array(entry(k, k, 3.0), entry(k + 1, k, 1.0), entry(k + 1, k + 1, 2.0))))
+    right = lambda i, v: F.struct(i.alias("i"), v.cast("double").alias("b"))
+    b = sup.select(F.inline(F.array(right(k, F.col("s_acctbal")), right(k + 1, F.col("s_nationkey")))))
+    return rounded(la.conjugate_gradients(a, b, 1e-13)[0], "x")
 
 
-@query()
+_BLOCK = [(1, 1, 1.0), (2, 1, 0.0), (2, 2, 1.0), (3, 1, 0.5), (3, 2, 0.5), (3, 3, 1.0), (4, 1, 0.5), (4, 2, 0.5), (4, 3, 0.5), (4, 4, 1.0), (5, 3, 0.75), (5, 4, 0.75), (5, 5, 1.25)]
+
+
+@query(f"""WITH fam AS (SELECT p_partkey * 5 AS b FROM part), e AS (SELECT * FROM (VALUES {", ".join(f"({i}, {j}, {x}::DOUBLE)" for i, j, x in _BLOCK)}) t(i, j, x))
+SELECT greatest(CAST(b + i AS VARCHAR), CAST(b + j AS VARCHAR)) AS i, least(CAST(b + i AS VARCHAR), CAST(b + j AS VARCHAR)) AS j, round(x, 6) + 0.0 AS x FROM fam, e""")
 def selected_inverse(spark, sf_dir):
+    """Of the inverse relationship of families: the relationships themselves, where the factor has entries."""
     return rounded(la.selected_inverse(pg.a_inverse(sib_families(spark, sf_dir))), "x")
 
 
@@ -660,16 +734,18 @@ def h2_share(spark, sf_dir):
     return spark.createDataFrame([("h2", round(mx.h2(fit), 6)), ("vp", round(mx.phenotypic_variance(fit), 6))], "what string, x double")
 
 
-@query("SELECT id FROM (SELECT CAST(c_nationkey AS VARCHAR) AS id FROM customer UNION SELECT CAST(s_nationkey AS VARCHAR) FROM supplier)")
+@query("SELECT level, row_number() OVER (ORDER BY CAST(level AS BIGINT)) - 1 AS place FROM (SELECT CAST(c_nationkey AS VARCHAR) AS level FROM customer UNION SELECT CAST(p_size AS VARCHAR) FROM customer JOIN part ON c_custkey = p_partkey)")
 def level_union(spark, sf_dir):
-    a, b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("id")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("id"))
-    return a.union(b).distinct()
+    """The levels of a group of two terms: one set, whole numbers by size."""
+    df = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "part"), F.col("c_custkey") == F.col("p_partkey"), "left").select(F.col("c_acctbal").alias("y"), F.col("c_nationkey").alias("a"), F.coalesce("p_size", "c_nationkey").alias("b"))
+    group = mx.build(df, parse("y ~ random(a, group='g') + random(b, group='g')")).groups[0]
+    return spark.createDataFrame([(n, k) for k, n in enumerate(group.levels)], "level string, place long")
 
 
 @query("SELECT id FROM (SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders EXCEPT SELECT s_suppkey FROM supplier)")
 def animals_in_common(spark, sf_dir):
     ids = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("id"))
-    return ids("customer", "c_custkey").intersect(ids("orders", "o_custkey")).subtract(ids("supplier", "s_suppkey"))
+    return sl.in_all([ids("customer", "c_custkey"), ids("orders", "o_custkey")], ids("supplier", "s_suppkey"))
 
 
 @query("WITH g AS (SELECT event_type AS level, count(*) AS n, avg(value) AS m, count(*) / (count(*) + 5.0) AS w FROM events GROUP BY 1), m AS (SELECT sum(w * m) / sum(w) AS mu FROM g) SELECT level, n, round(w * (m - mu), 6) + 0.0 AS effect FROM g, m")
@@ -683,10 +759,10 @@ def streaming_effects(spark, sf_dir):
     return rounded(run.effects(5.0), "effect")
 
 
-@query("SELECT id, \"rank\" FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS \"rank\" FROM orders) WHERE \"rank\" <= 100")
+@query("SELECT id FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS \"rank\" FROM orders) WHERE \"rank\" <= 100")
 def top_k_retention(spark, sf_dir):
-    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
-    return top.select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("rank"))
+    """The animals that a ranking's top holds, as rank_drift counts them."""
+    return sl.top(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("ebv")), "ebv", 100)
 
 
 @query()

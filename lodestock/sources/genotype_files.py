@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the binary format: its first bytes, and the dosage of each two-bit code (3 bits set: missing).
@@ -80,17 +80,36 @@ def write_plink(ids: list[str], names: list[str], dosages: np.ndarray) -> tuple[
 
 
 def read_plink_raw(spark: SparkSession, path: str) -> DataFrame:
-    """(id, marker, dosage) of the text form: six columns, then one a marker named NAME_ALLELE, NA for missing."""
-    wide = spark.read.option("sep", " ").option("header", True).csv(path)
+    """(id, marker, dosage) of the text form: six columns, then one a marker named NAME_ALLELE, NA for missing. Any other code is an error, as is a line of another width."""
+    wide = spark.read.option("sep", " ").option("header", True).option("mode", "FAILFAST").csv(path)
     names = wide.columns[6:]
-    cells = F.array(*[F.struct(F.lit(n.rpartition("_")[0] or n).alias("marker"), F.expr(f"try_cast(`{n}` as byte)").alias("dosage")) for n in names])
+    if not names:
+        raise ValueError(f"{path}: {len(wide.columns)} columns, and no marker")
+
+    def code(n: str) -> Column:
+        text = F.trim(F.col(f"`{n}`"))
+        bad = F.raise_error(F.concat(F.lit(f"genotype code at {n}: "), F.coalesce(text, F.lit("none")), F.lit(" of "), F.col("IID"))).cast("byte")
+        return F.when(text.isin("0", "1", "2"), text.cast("byte")).when(text == "NA", F.lit(None).cast("byte")).otherwise(bad)
+
+    cells = F.array(*[F.struct(F.lit(n.rpartition("_")[0] or n).alias("marker"), code(n).alias("dosage")) for n in names])
     return wide.select(F.col("IID").alias("id"), F.inline(cells))
 
 
 def read_snp_lines(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """(id, marker, dosage) of lines `id genotypes`, a digit a marker, 5 for missing. ids: keep those of its column id."""
+    """(id, marker, dosage) of lines `id genotypes`, a digit a marker, 5 for missing. ids: keep those of its column id.
+
+    A line that is not two fields, and lines of another number of markers than the longest, are errors that
+    show the line: one pass over the text before the cells are made.
+    """
     line = spark.read.text(path).filter(F.trim("value") != "")
-    rows = line.select(F.regexp_extract("value", r"^\s*(\S+)\s+\S+\s*$", 1).alias("id"), F.regexp_extract("value", r"^\s*\S+\s+(\S+)\s*$", 1).alias("g"))
+    fields = F.split(F.trim("value"), r"\s+")
+    rows = line.select("value", F.size(fields).alias("n"), fields[0].alias("id"), F.when(F.size(fields) == 2, fields[1]).alias("g"))
+    seen = rows.agg(F.min(F.when(F.col("n") != 2, F.col("value"))).alias("bad"), F.max(F.length("g")).alias("most"), F.min(F.struct(F.length("g"), "value")).alias("least")).first()
+    if seen.bad is not None:
+        raise ValueError(f"{path}: a line is not an id and its genotypes: {seen.bad[:60]!r}")
+    if seen.most is not None and seen.least[0] != seen.most:
+        raise ValueError(f"{path}: {seen.least[0]} markers where other lines have {seen.most}: {seen.least[1][:60]!r}")
+    rows = rows.select("id", "g")
     if ids is not None:
         rows = rows.join(ids.select(F.col("id").cast("string").alias("id")), "id", "left_semi")
     cells = rows.select("id", F.posexplode(F.split("g", "")).alias("at", "d")).filter("d <> ''")
