@@ -99,18 +99,20 @@ def chi2_limit(p: float) -> float:
 
 
 def parentage_check(ped: DataFrame, geno: DataFrame, exclusion: float = 0.01, sex_markers: list[str] | None = None) -> DataFrame:
-    """Genotyped parent-offspring pairs: id, parent, role, n_both, n_opposite, rate, conflict. A maternal grandsire is no parent."""
-    rows = geno.filter(F.col("dosage").isNotNull()).select("id", "marker", "dosage")
-    if sex_markers:
-        rows = rows.filter(~F.col("marker").isin(*sex_markers))
+    """Genotyped parent-offspring pairs: id, parent, role, n_both, n_opposite, rate, conflict. A maternal grandsire is no parent. Every animal has a row for every marker, null where it has no call."""
+    rows = geno.filter(~F.col("marker").isin(*sex_markers)) if sex_markers else geno
     dam = F.when(~F.coalesce("via_mgs", F.lit(False)), F.col("dam")) if "via_mgs" in ped.columns else F.col("dam")
     made = F.array(F.struct(F.lit("sire").alias("role"), F.col("sire").alias("parent")), F.struct(F.lit("dam").alias("role"), dam.alias("parent")))
     pairs = ped.select("id", F.inline(made)).filter("parent is not null")
-    # an animal's markers are one group: both sides meet by (animal), then by marker in that group
-    child = pairs.join(rows, "id")
-    parent = rows.select(F.col("id").alias("parent"), "marker", F.col("dosage").alias("_p"))
-    both = child.join(parent, ["parent", "marker"])
-    found = both.groupBy("id", "parent", "role").agg(F.count(F.lit(1)).alias("n_both"), F.count_if(F.abs(F.col("dosage") - F.col("_p")) == 2).alias("n_opposite"))
+    # an animal is one row with an array of its dosages, so a parent of many is one row that many meet
+    own = F.array_sort(F.collect_list(F.struct("marker", F.col("dosage").cast("byte").alias("d"))))
+    wide = rows.groupBy("id").agg(own.alias("_c")).select("id", F.xxhash64(F.transform("_c", lambda e: e["marker"])).alias("_m"), F.transform("_c", lambda e: e["d"]).alias("_d"))
+    both = pairs.join(wide, "id").join(wide.select(F.col("id").alias("parent"), F.col("_m").alias("_pm"), F.col("_d").alias("_p")), "parent")
+    apart = F.zip_with("_d", "_p", lambda a, b: F.abs(a - b))
+    alike = F.when(F.col("_m") == F.col("_pm"), apart).otherwise(F.raise_error(F.concat(F.lit("different markers: "), "id", F.lit(", "), "parent")))
+    found = both.select("id", "parent", "role", alike.alias("_x"))
+    n = lambda test: F.size(F.filter("_x", test)).cast("long")
+    found = found.select("id", "parent", "role", n(lambda x: x.isNotNull()).alias("n_both"), n(lambda x: x == 2).alias("n_opposite")).filter("n_both > 0")
     return found.withColumn("rate", F.col("n_opposite") / F.col("n_both")).withColumn("conflict", F.col("rate") > exclusion)
 
 
@@ -142,33 +144,37 @@ def centred(geno: DataFrame, plain: bool = False) -> tuple[DataFrame, float]:
     return rows, float(scale or 0.0)
 
 
-def gram(rows: DataFrame, divisor: float, block: int = 512) -> DataFrame:
-    """(i, j, x), i >= j: Z Z' / divisor of long rows (id, marker, z).
+def gram(rows: DataFrame, divisor: float, block: int = 512, markers: int = 8192) -> DataFrame:
+    """(i, j, x), i >= j: Z Z' / divisor of long rows (id, marker, z), every animal having a row for every marker.
 
-    Animals are dealt into blocks by hash; a pair of blocks is one group, in which both sides are dense
-    matrices and the product is one call. The result has n^2 / 2 rows; input rows are sent once a block.
+    An animal's rows become one array for each slice of markers. Animals are dealt into blocks by hash; a pair
+    of blocks and a slice is one group, in which both sides are dense matrices and the product is one call; the
+    slices' products are summed. The result has n^2 / 2 rows; an animal's arrays are sent once a block.
     """
-    n = rows.select("id").distinct().count()
-    many = max(1, -(-n // block))
-    own = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
-    pairs = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).select("id", "marker", "z", "_b", F.least("_b", "_o").alias("_l"), F.greatest("_b", "_o").alias("_h"))
+    n, m = rows.agg(F.count_distinct("id"), F.count_distinct("marker")).first()
+    many, slices = max(1, -(-n // block)), max(1, -(-m // markers))
+    own = rows.groupBy("id", F.pmod(F.xxhash64("marker"), F.lit(slices)).alias("_s")).agg(F.array_sort(F.collect_list(F.struct("marker", "z"))).alias("_c"))
+    own = own.select("id", "_s", F.transform("_c", lambda e: e["z"]).alias("z"), F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("_b"))
+    pairs = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).select("id", "_s", "z", "_b", F.least("_b", "_o").alias("_l"), F.greatest("_b", "_o").alias("_h"))
 
     def product(table: pa.Table) -> pa.Table:
         low, high = table["_l"][0].as_py(), table["_h"][0].as_py()
-        ids, who = np.unique(np.asarray(table["id"].to_pylist(), object), return_inverse=True)
-        marker = np.unique(np.asarray(table["marker"].to_pylist(), object), return_inverse=True)[1]
-        z = np.zeros((len(ids), marker.max() + 1))
-        z[who, marker] = np.asarray(table["z"])
-        of = np.zeros(len(ids), np.int64)
-        of[who] = np.asarray(table["_b"])
+        names = np.asarray(table["id"].to_pylist(), object)
+        order = np.argsort(names)  # ids are sorted, so indices order them
+        ids, of = names[order], np.asarray(table["_b"])[order]
+        cells = table["z"].combine_chunks()
+        if len(set(np.diff(np.asarray(cells.offsets)).tolist())) > 1:
+            raise ValueError("animals with different numbers of markers")
+        z = np.asarray(cells.flatten()).reshape(len(names), -1)[order]
         a, b = np.flatnonzero(of == low), np.flatnonzero(of == high)
         x = z[a] @ z[b].T / divisor
         i, j = np.meshgrid(a, b, indexing="ij")
-        keep = (i >= j) if low == high else np.ones_like(i, bool)  # ids are sorted, so indices order them
+        keep = (i >= j) if low == high else np.ones_like(i, bool)
         i, j, x = i[keep], j[keep], x[keep]
         return pa.table({"i": pa.array(ids[np.maximum(i, j)].tolist(), pa.string()), "j": pa.array(ids[np.minimum(i, j)].tolist(), pa.string()), "x": pa.array(x)})
 
-    return pairs.groupBy("_l", "_h").applyInArrow(product, "i string, j string, x double")
+    found = pairs.groupBy("_l", "_h", "_s").applyInArrow(product, "i string, j string, x double")
+    return found if slices == 1 else found.groupBy("i", "j").agg(F.sum("x").alias("x"))
 
 
 def g_matrix(geno: DataFrame) -> DataFrame:

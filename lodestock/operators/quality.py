@@ -21,11 +21,61 @@ def observed(name: str, missing_code: float | None = None) -> Column:
     return seen if missing_code is None else seen & (F.abs(col - missing_code) >= 1e-9)
 
 
+#: Values up to which one task may hold all that differ.
+GATHERED = 1_000_000
+BINS = 4096
+
+
+def order_statistics(df: DataFrame, name: str, ranks: list[int]) -> dict[int, float]:
+    """The values at these ranks (from 0) of the rows sorted by a column without nulls.
+
+    The range is cut into BINS equal parts and counted, which tells the part a rank lies in; that part is cut
+    again until it holds few values or one only. So no task sorts or holds all values.
+    """
+    value = F.col(name).cast("double")
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    out: dict[int, float] = {}
+    open_parts: list[tuple[float, float, int, list[int]]] = [(low, high, 0, sorted(set(ranks)))]
+    while open_parts:
+        low, high, before, wanted = open_parts.pop()
+        rows = df.filter((value >= F.lit(low)) & (value <= F.lit(high)))
+        step = (high - low) / BINS
+        if low == high or step == 0:
+            out |= dict.fromkeys(wanted, low)
+            continue
+        at = F.least(F.floor((value - F.lit(low)) / F.lit(step)), F.lit(BINS - 1))
+        counts = rows.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).orderBy("at").collect()
+        for r in counts:
+            own = [k for k in wanted if before <= k < before + r.n]
+            if own and (r.low == r.high or r.n <= GATHERED):
+                found = [r.low] if r.low == r.high else [x[0] for x in df.filter((value >= F.lit(r.low)) & (value <= F.lit(r.high))).select(value).sort(value).collect()]
+                out |= {k: found[0] if len(found) == 1 else found[k - before] for k in own}
+            elif own:
+                open_parts.append((r.low, r.high, before, own))
+            before += r.n
+    return out
+
+
+def quantiles(df: DataFrame, name: str, probs: list[float]) -> tuple[int, list[float]]:
+    """(number of values, linear quantiles of type 7) of a column without nulls."""
+    n = df.count()
+    if not n:
+        return 0, [float("nan")] * len(probs)
+    if n <= GATHERED:
+        return n, list(df.agg(F.percentile(F.col(name), F.array(*map(F.lit, probs)))).first()[0])
+    places = [(n - 1) * p for p in probs]
+    at = order_statistics(df, name, [k for x in places for k in (int(x), min(int(x) + 1, n - 1))])
+    return n, [at[int(x)] + (x - int(x)) * (at[min(int(x) + 1, n - 1)] - at[int(x)]) for x in places]
+
+
 def fences(df: DataFrame, trait: str, fence: float = 3.0, by: str | None = None, missing_code: float | None = None) -> DataFrame:
     """Quartiles (linear, type 7) and Tukey fences of the observed values: one row, or one a class."""
     rows = df.filter(observed(trait, missing_code))
-    cut = F.percentile(F.col(trait), F.array(F.lit(0.25), F.lit(0.75)))
-    found = (rows.groupBy(by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("n_observed"), cut.alias("_q"))
+    if by is None:
+        n, q = quantiles(rows, trait, [0.25, 0.75])
+        found = df.sparkSession.createDataFrame([(n, q if n else None)], "n_observed long, _q array<double>")
+    else:
+        found = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_observed"), F.percentile(F.col(trait), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     found = found.withColumn("q25", F.col("_q")[0]).withColumn("q75", F.col("_q")[1]).drop("_q")
     spread = (F.col("q75") - F.col("q25")) * fence
     return found.withColumn("low", F.col("q25") - spread).withColumn("high", F.col("q75") + spread)

@@ -257,3 +257,30 @@ def test_genotype_lines_are_read_strictly(spark, tmp_path):
     for bad in ("3", "x", "99"):
         with pytest.raises(Exception, match="genotype code"):
             read_plink_raw(spark, text(f"bad{bad}.raw", [head, f"f a 0 0 1 -9 0 {bad}"])).collect()
+
+
+def test_quantiles_by_brackets(spark, monkeypatch):
+    from lodestock.operators import quality
+
+    rng = np.random.default_rng(5)
+    values = np.r_[rng.normal(size=400), np.full(300, 1.5), rng.lognormal(4, 2, 300)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    want = [float(np.quantile(values, p)) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    assert quality.quantiles(df, "v", [0.0, 0.25, 0.5, 0.75, 1.0]) == (1000, pytest.approx(want))
+    monkeypatch.setattr(quality, "GATHERED", 20)
+    monkeypatch.setattr(quality, "BINS", 8)
+    assert quality.quantiles(df, "v", [0.0, 0.25, 0.5, 0.75, 1.0]) == (1000, pytest.approx(want))
+    row = quality.fences(df, "v").first()
+    assert row.n_observed == 1000 and row.q25 == pytest.approx(want[1]) and row.high == pytest.approx(want[3] + 3 * (want[3] - want[1]))
+    assert quality.fences(df.limit(0), "v").first().n_observed == 0
+
+
+def test_gram_over_slices_of_markers(spark):
+    from lodestock.operators.genotypes import gram
+
+    z = np.random.default_rng(6).normal(size=(9, 23))
+    rows = spark.createDataFrame([(f"a{i}", f"m{j}", float(z[i, j])) for i in range(9) for j in range(23)], "id string, marker string, z double")
+    got = {(r.i, r.j): r.x for r in gram(rows, 2.0, block=4, markers=6).collect()}
+    assert len(got) == 45 and all(got[f"a{i}", f"a{j}"] == pytest.approx(z[i] @ z[j] / 2) for i in range(9) for j in range(i + 1))
+    with pytest.raises(Exception, match="numbers of markers"):
+        gram(rows.limit(200), 2.0).collect()
