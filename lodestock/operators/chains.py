@@ -316,6 +316,11 @@ def classic_rhat(draws: DataFrame) -> DataFrame:
     return both.select("parameter", F.sqrt((F.col("n") - 1) / F.col("n") + F.col("b") / F.col("w")).alias("rhat"))
 
 
+def worst_levels(draws: DataFrame, most: int = 10) -> DataFrame:
+    """The parameters whose chains agree least: (parameter, rhat), the largest first."""
+    return classic_rhat(draws).orderBy(F.desc("rhat"), "parameter").limit(most)
+
+
 def numbered(df: DataFrame, chain, order: str, value: str) -> DataFrame:
     """(chain, iteration, parameter, value) of any table: chain by an expression, iterations in the order of a column."""
     rows = df.select(chain.alias("chain"), F.col(order).alias("_o"), F.lit(value).alias("parameter"), F.col(value).cast("double").alias("value"))

@@ -20,7 +20,7 @@ from lodestock.plans.design import DRIVER_CELLS, DRIVER_COLUMNS, Cells, Design,
 from lodestock.plans.formula import FIXED, RELATIONSHIP, Formula, parse
 from lodestock.session import written
 
-__all__ = ["Fit", "LargeFit", "build", "fitted", "h2", "h2_curve", "model", "phenotypic_variance", "profile", "residuals", "rg", "se_function", "solutions", "statistics", "variance_table"]
+__all__ = ["Fit", "LargeFit", "build", "fitted", "h2", "h2_curve", "model", "phenotypic_variance", "profile", "residuals", "rg", "se_function", "solutions", "summary", "statistics", "variance_table"]
 
 
 @dataclass
@@ -244,18 +244,24 @@ def solutions(fit: Fit | LargeFit, group: str | None = None, trait: str | None =
     return fit.spark.createDataFrame(pa.concat_tables(parts)).orderBy(F.desc("ebv"), "id")
 
 
-def phenotypic_variance(fit: Fit, trait: str | None = None) -> float:
-    """Sum of the variances and of the covariances within groups, of one trait."""
+def harmonic_weight(fit: Fit) -> float:
+    """The harmonic mean of the records' weights: the weight whose residual variance is the mean one."""
+    n, inverse = fit.design.cells.table.agg(F.sum("n"), F.sum("inverse")).first()
+    return n / inverse
+
+
+def phenotypic_variance(fit: Fit, trait: str | None = None, weight: float | None = None) -> float:
+    """Sum of the variances and of the covariances within groups, of one trait; the residual one at a weight, by default the harmonic mean of the records'."""
     k = fit.design.formula.traits.index(trait) if trait else 0
     lik, theta = fit.likelihood, fit.walk.evaluation.theta
-    total = lik.residual(theta)[k, k]
+    total = lik.residual(theta)[k, k] / (weight or harmonic_weight(fit))
     for pairs, c in zip(lik.pairs, lik.split(theta)[0], strict=True):
         own = [a for a, (j, _) in enumerate(pairs) if j == k]
         total += np.tril(c[np.ix_(own, own)]).sum()
     return float(total)
 
 
-def h2(fit: Fit, group: str | None = None, trait: str | None = None) -> float:
+def h2(fit: Fit, group: str | None = None, trait: str | None = None, weight: float | None = None) -> float:
     """Share of the phenotypic variance; four times the sire variance in a sire model. Not a number if the data cannot tell the component apart."""
     g, own = _group(fit, group)
     if any(t.base for t in fit.design.formula.groups[own.name]):
@@ -266,7 +272,7 @@ def h2(fit: Fit, group: str | None = None, trait: str | None = None) -> float:
     name = next(p.name for p in fit.likelihood.parameters if p.group == g and p.a == p.b == a)
     if name in fit.singular:
         return math.nan
-    return float(cov[a, a]) * (4 if own.names[0] == "sire" else 1) / phenotypic_variance(fit, trait)
+    return float(cov[a, a]) * (4 if own.names[0] == "sire" else 1) / phenotypic_variance(fit, trait, weight)
 
 
 def _first(fit: Fit, group: int, trait: int) -> int:
@@ -405,6 +411,16 @@ def residuals(fit: Fit, df: DataFrame, weights: str | None = None, residual_by:
     return out.select(*df.columns, "fitted", "fitted_fixed", "residual", "residual_marginal", "leverage", "pearson", "standardized")
 
 
+def summary(fit: Fit) -> str:
+    """A fit in text: whether it converged, -2 log L, records, and the components with their errors and shares."""
+    rows = variance_table(fit).collect()
+    wide = max(len(r.component) for r in rows)
+    number = lambda v: "" if v is None else f"{v:.5g}"
+    head = f"{'converged' if fit.converged else 'not converged'} after {fit.walk.iterations} steps; -2 log L {fit.neg2logl:.5f}; {int(fit.likelihood.counts.sum())} records"
+    lines = [f"{r.component:<{wide}}  {number(r.estimate):>12}  {number(r.se):>12}  {number(r.share):>8}" for r in rows]
+    return "\n".join([head, f"{'component':<{wide}}  {'estimate':>12}  {'se':>12}  {'share':>8}", *lines])
+
+
 def se_function(fit: Fit, f: Callable[[dict[str, float]], float], step: float = 1e-6) -> tuple[float, float]:
     """(value, standard error) of a function of the components, by the delta method with central differences."""
     theta = fit.walk.evaluation.theta

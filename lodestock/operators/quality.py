@@ -120,6 +120,16 @@ def qc_phenotypes(df: DataFrame, trait: str, missing_code: float | None = None,
     return PhenotypeQC(data, counts, {c: small_classes(data, trait, c, min_class_n, missing_code) for c in classes})
 
 
+def standardized(df: DataFrame, names: list[str], trait: str | None = None) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """df with columns as deviations from their mean in standard deviations, over the rows whose trait is observed, and (mean, deviation) by column, by which slopes are brought back."""
+    used = df.filter(observed(trait)) if trait else df
+    row = used.agg(*[f(F.col(n).cast("double")) for n in names for f in (F.avg, F.stddev_samp)]).first()
+    moments = {n: (row[2 * k], row[2 * k + 1]) for k, n in enumerate(names)}
+    if flat := [n for n, (_, sd) in moments.items() if not sd]:
+        raise ValueError(f"columns without variance: {flat}")
+    return df.withColumns({n: (F.col(n).cast("double") - mean) / sd for n, (mean, sd) in moments.items()}), moments
+
+
 def small_classes(df: DataFrame, trait: str, by: str, least: int = 2, missing_code: float | None = None) -> DataFrame:
     """Levels with fewer than `least` observed records; a level whose records are all missing counts as 0."""
     counts = df.groupBy(by).agg(F.count_if(observed(trait, missing_code)).alias("n_observed"))

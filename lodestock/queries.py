@@ -22,7 +22,7 @@ from lodestock.operators import selection as sl
 from lodestock.operators import single_step as ss
 from lodestock.plans.formula import parse
 from lodestock.session import shared_folder, written
-from lodestock.sources import read_plink, read_plink_raw, read_snp_lines, simulate_population, write_plink
+from lodestock.sources import read_plink, read_plink_raw, read_snp_lines, simulate_genotypes, simulate_population, write_plink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,6 +70,20 @@ def heat_load(spark, sf_dir):
     return _environment(spark, sf_dir).select("event_id", r6(fn.heat_load(fn.thi(F.col("t"), F.col("h")))).alias("load"))
 
 
+@query(f"SELECT event_id, round({_THI}, 6) + 0.0 AS thi, round(greatest(0.0, {_THI} - 60), 6) + 0.0 AS load FROM {_ENV}")
+def sql_functions(spark, sf_dir):
+    """The functions under their SQL names."""
+    fn.register(spark)
+    return rounded(_environment(spark, sf_dir).selectExpr("event_id", "thi(t, h) AS thi", "heat_load(thi(t, h), 60) AS load"), "thi", "load")
+
+
+@query("WITH m AS (SELECT avg(l_tax) AS a, stddev_samp(l_tax) AS s, avg(l_discount) AS b, stddev_samp(l_discount) AS u FROM lineitem WHERE l_quantity <> 7) SELECT l_orderkey, l_linenumber, round((l_tax - a) / s, 6) + 0.0 AS l_tax, round((l_discount - b) / u, 6) + 0.0 AS l_discount FROM lineitem, m")
+def standardized_covariates(spark, sf_dir):
+    """Covariates over the records with an observation."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_discount", F.when(F.col("l_quantity") != 7, F.col("l_quantity")).alias("y"))
+    return rounded(ql.standardized(df, ["l_tax", "l_discount"], "y")[0].drop("y"), "l_tax", "l_discount")
+
+
 @query("""
 WITH b AS (SELECT event_id, 2 * (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) - 1 AS z FROM events)
 SELECT event_id, round(sqrt(0.5), 6) + 0.0 AS phi0, round(sqrt(1.5) * z, 6) + 0.0 AS phi1, round(sqrt(2.5) * (3 * z * z - 1) / 2, 6) + 0.0 AS phi2, round(sqrt(3.5) * (5 * z * z * z - 3 * z) / 2, 6) + 0.0 AS phi3 FROM b""")
@@ -765,6 +779,11 @@ def top_k_retention(spark, sf_dir):
     return sl.top(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("ebv")), "ebv", 100)
 
 
+@query()
+def simulated_genotypes(spark, sf_dir):
+    return simulate_genotypes(simulate_population(spark), 50)
+
+
 @query()
 def simulated_population(spark, sf_dir):
     return simulate_population(spark)

@@ -284,3 +284,30 @@ def test_gram_over_slices_of_markers(spark):
     assert len(got) == 45 and all(got[f"a{i}", f"a{j}"] == pytest.approx(z[i] @ z[j] / 2) for i in range(9) for j in range(i + 1))
     with pytest.raises(Exception, match="numbers of markers"):
         gram(rows.limit(200), 2.0).collect()
+
+
+def test_weighted_shares_and_summary(spark):
+    df, rows = records(spark)
+    fit = mx.model("y ~ random(c)", df, start={"var(c)": 2.0, "var(residual)": 3.0}, most=0, weights="w", checks=False)
+    mean = np.mean([1 / r[6] for r in rows])
+    assert mx.harmonic_weight(fit) == pytest.approx(1 / mean) and mx.h2(fit) == pytest.approx(2 / (2 + 3 * mean)) and mx.h2(fit, weight=2.0) == pytest.approx(2 / 3.5)
+    text = mx.summary(fit)
+    assert "not converged" in text and "var(residual)" in text and "40 records" in text
+
+
+def test_simulated_genotypes_follow_the_pedigree(spark):
+    from lodestock.operators.genotypes import marker_stats, parentage_check
+    from lodestock.operators.pedigree import pedigree
+    from lodestock.sources import simulate_genotypes, simulate_population
+
+    pop = simulate_population(spark, founders=12, generations=2, offspring=20)
+    geno = simulate_genotypes(pop, 60)
+    assert geno.count() == 52 * 60 and {r.dosage for r in geno.select("dosage").distinct().collect()} == {0, 1, 2}
+    pairs = parentage_check(pedigree(pop), geno)
+    assert pairs.count() == 80 and pairs.filter("n_opposite > 0").isEmpty()
+    assert marker_stats(geno).filter("freq between 0.02 and 0.98").count() > 50
+
+
+def test_worst_levels(spark):
+    draws = spark.createDataFrame([(c, i, f"p{k}", float((i * 7 % 5) + c * k)) for c in range(3) for i in range(40) for k in range(4)], "chain int, iteration int, parameter string, value double")
+    assert [r.parameter for r in ch.worst_levels(draws, 2).collect()] == ["p3", "p2"]
