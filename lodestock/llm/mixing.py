@@ -186,7 +186,8 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     p = plan(own, goals, block)
     low = F.greatest(F.col("begin"), F.col("block") * block)
     high = F.least(F.col("begin") + F.col("size"), F.col("block") * block + F.col("words"))
-    pieces = cut.join(schedule(spark, p), ["source_no", "block"]).withColumn("words", high - low).filter("words > 0")
+    # the schedule grows with the words, which Spark cannot tell of a range: a join by a shuffle, never a broadcast
+    pieces = cut.join(schedule(spark, p).hint("merge"), ["source_no", "block"]).withColumn("words", high - low).filter("words > 0")
     return rows, pieces.select(*named, "slot", "pass", "block", "words"), p["total"]
 
 
