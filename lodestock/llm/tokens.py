@@ -25,8 +25,8 @@ OTHER = re.compile("[^\\x00-įı-ſ]|[\\x1c-\\x1f]")
 WORDS = re.compile(f"{SUFFIX}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 BYTES = re.compile(f"{SUFFIX}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-#: Pieces kept in each of two generations: about 40 MB a generation.
-KEPT = 200_000
+#: Pieces kept in each of two generations: about 70 MB a generation.
+KEPT = 350_000
 
 
 class _Pieces(dict):
