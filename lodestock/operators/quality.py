@@ -71,11 +71,11 @@ def quantiles(df: DataFrame, name: str, probs: list[float]) -> tuple[int, list[f
 def fences(df: DataFrame, trait: str, fence: float = 3.0, by: str | None = None, missing_code: float | None = None) -> DataFrame:
     """Quartiles (linear, type 7) and Tukey fences of the observed values: one row, or one a class."""
     rows = df.filter(observed(trait, missing_code))
-    if by is None:
-        n, q = quantiles(rows, trait, [0.25, 0.75])
-        found = df.sparkSession.createDataFrame([(n, q if n else None)], "n_observed long, _q array<double>")
+    if by is None and (n := rows.count()) > GATHERED:
+        q = quantiles(rows, trait, [0.25, 0.75])[1]
+        found = df.sparkSession.range(1).select(F.lit(n).cast("long").alias("n_observed"), F.array(*map(F.lit, q)).alias("_q"))
     else:
-        found = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_observed"), F.percentile(F.col(trait), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+        found = (rows.groupBy(by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("n_observed"), F.percentile(F.col(trait), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     found = found.withColumn("q25", F.col("_q")[0]).withColumn("q75", F.col("_q")[1]).drop("_q")
     spread = (F.col("q75") - F.col("q25")) * fence
     return found.withColumn("low", F.col("q25") - spread).withColumn("high", F.col("q75") + spread)

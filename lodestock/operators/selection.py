@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def ranks(df: DataFrame, name: str) -> DataFrame:
         before.append((r["_p"], total))
         total += r.n
     upto = F.sum("_n").over(Window.partitionBy("_p").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0))
-    offsets = df.sparkSession.createDataFrame(before, "_p int, _b long")  # a row a partition
+    offsets = df.sparkSession.createDataFrame(pa.table({"_p": pa.array([p for p, _ in before], pa.int32()), "_b": pa.array([b for _, b in before], pa.int64())}))  # a row a partition
     placed = dealt.withColumn("_u", upto).join(F.broadcast(offsets), "_p").select("_v", (F.col("_b") + F.col("_u") - (F.col("_n") - 1) / 2).alias(f"rank_{name}"))
     return df.join(placed, F.col(name) == F.col("_v")).drop("_v")
 
