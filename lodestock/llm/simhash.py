@@ -254,13 +254,14 @@ def neighbour_links(nodes: DataFrame, most: int) -> DataFrame:
     return mapped(ranked.repartitionByRange(shuffle_parts(nodes.sparkSession), "turn", "rank").sortWithinPartitions("turn", "rank"), link, "u long, v long")
 
 
-def dealt(rows: DataFrame, by: list[str], kept: list[str], spread: str) -> DataFrame:
-    """rows (kept and by, component among kept) with the chunks a, b of each pair of chunks, of those with equal `by`, that are searched together."""
+def dealt(rows: DataFrame, by: list[str], kept: list[str], spread: str, chunk: int | None = None) -> DataFrame:
+    """rows (kept and by, component among kept) with the chunks a, b of each pair of chunks (of CHUNK rows, or `chunk`), of those with equal `by`, that are searched together."""
+    chunk = chunk or CHUNK
     # keys with many rows: chunks of each component that alone has many, and chunks of the rest
-    full = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select(*by)
+    full = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).select(*by)
     parts = rows.join(full, by, "left_semi").groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.withColumn("alone", F.when(F.col("n") > CHUNK, F.col("component")))
-    parts = saved(parts.groupBy(*by, "alone").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("chunks")), "patterns")
+    parts = parts.withColumn("alone", F.when(F.col("n") > chunk, F.col("component")))
+    parts = saved(parts.groupBy(*by, "alone").agg(F.ceil(F.sum("n") / chunk).cast("long").alias("chunks")), "patterns")
     listed = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("alone", "chunks"))).alias("parts"))
     wide = rows.join(listed, by, "left")
     # a row's chunks: from where its part begins, one by hash; it goes to every pair of chunks but those within a component

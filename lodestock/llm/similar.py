@@ -1,16 +1,19 @@
 """Near-duplicate texts: groups linked at a Jaccard similarity over word shingles, found by SimHash and by prefixes.
 
-Operator 10's fingerprints in Gray order give the first candidates: neighbours that differ in few bits. The
-rest is found without loss by prefixes of shingle sets: with one order of all shingles, rarest first, two sets
-of n and m shingles at similarity s share ceil(s * n) or more, so the first n - ceil(s * n) + 1 of either meet.
+Candidates are found by operator 10's method: fingerprints, neighbours in Gray order, and the hierarchical index
+below masked patterns, which finds all pairs within the bits that texts of this similarity differ by on average.
+Similar texts whose fingerprints lie further apart no index at that radius can find; these are found without
+loss by prefixes of shingle sets: with one order of all shingles, rarest first, two sets of n and m shingles
+at similarity s share ceil(s * n) or more, so the first n - ceil(s * n) + 1 of either meet.
 
 A text is reduced once to its node: the hash of its set of shingles, which equal sets share. Candidates are
-searched in two rounds. First, neighbours in Gray order, and for each shingle that many sets have a star from
-the set with the fewest rare shingles, which of a group of copies is the one most like all; what is similar is
-merged. Then, of what these have not joined, every pair whose prefixes meet. So a group of copies is not
-compared pair by pair. Where prefixes meet, three bounds that no similar pair passes thin the pairs at once:
-sizes, what can still be shared from the meeting place on, and the parities of hashed counts. All candidates are
-then thinned by bucket counts, which drop no similar pair either, and checked on the whole sets.
+searched in three rounds, and what is similar is merged after each. First, neighbours in Gray order, and for
+each shingle that many sets have a star from the set with the fewest rare shingles, which of a group of copies
+is the one most like all. Then, of what these have not joined, every pair that the index finds. Last, of what
+is not joined yet, every pair whose prefixes meet. So a group of copies is not compared pair by pair. Bounds
+that no similar pair passes thin the pairs at once: sizes, the parities of hashed counts and, where prefixes
+meet, what can still be shared from there on. All candidates are then thinned by bucket counts, which drop no
+similar pair either, and checked on the whole sets.
 
 Cases: texts with fewer words than a shingle have the whole sequence as one; null, empty and blank texts are
 one node without shingles; rows with a null doc_id are no one's copy; rows of one doc_id with different texts
@@ -20,7 +23,7 @@ are nodes of their own; an empty table gives no row; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,8 +146,11 @@ def star_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
 
 
-#: What a row of a search has beside its keys.
+#: What a row of a search has beside its keys, by prefixes and by the index.
 SEARCHED = ["node", "component", "size", "place", "parity_a", "parity_b"]
+INDEXED = ["node", "component", "size", "print", "mask"]
+#: Nodes up to which the index's patterns grow in number; beyond, what lies below a pattern grows. It is cut into chunks of GROUPED * simhash.CHUNK.
+PATTERNED, GROUPED = 1 << 18, 16
 
 
 def cross_pairs(group: np.ndarray, cols: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -187,34 +193,78 @@ def cross_pairs(group: np.ndarray, cols: list[np.ndarray], similarity: float) ->
         yield made()
 
 
-def _searched(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
-    """u, v: cross_pairs of the rows (SEARCHED) of each `by`. A task holds some hundred thousand rows, or the rows of one `by`."""
+def near_pairs(group: np.ndarray, cols: list[np.ndarray], masks: np.ndarray, most: int, similarity: float, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of nodes of a group, of different components, whose prints differ in `most` bits or fewer and whose sizes allow the similarity; some `step` comparisons at a time.
+
+    cols are those INDEXED. A group lies below one mask; a pair is given below the first of the masks under which its prints agree.
+    """
+    index = simhash.GrayIndex(group, cols[3].view(np.uint64))
+    order = np.argsort(masks)
+    nth = order[np.searchsorted(masks[order], cols[4].view(np.uint64))][index.order]
+    node, component, size = (c[index.order] for c in cols[:3])
+    same = np.unique(component, return_inverse=True)[1]
+    uniform, cost, at = index.uniform(same), np.cumsum(np.bincount(index.roots)[index.roots]), 0
+    while at < len(node):
+        end = max(at + 1, int(np.searchsorted(cost, cost[at] + step)))
+        i, j = index.near(np.arange(at, end), most, same, uniform)
+        at = end
+        differ, keep = index.prints[i] ^ index.prints[j], np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+        for k, mask in enumerate(masks):
+            keep &= ((differ & mask) != 0) | (nth[i] <= k)
+        if keep.any():
+            u, v = node[i[keep]], node[j[keep]]
+            yield np.minimum(u, v), np.maximum(u, v)
+
+
+def _searched(rows: DataFrame, cols: list[str], by: list[str], pairs: Callable[[np.ndarray, list[np.ndarray]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """u, v: what `pairs` finds in the rows (cols) of each `by`, which stand together. A task holds some hundred thousand rows, or the rows of one `by`."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def links(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            of = np.stack(cols[len(SEARCHED) :])
+        def links(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            of = np.stack(rows[len(cols) :])
             group = np.cumsum(np.r_[False, (of[:, 1:] != of[:, :-1]).any(0)])
-            for u, v in cross_pairs(group, list(cols[: len(SEARCHED)]), similarity):
+            for u, v in pairs(group, list(rows[: len(cols)])):
                 yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
 
         for batch in batches:
             held.append(tuple(np.asarray(c) for c in batch.columns))
             if sum(len(h[0]) for h in held) < 1 << 17:
                 continue
-            cols = tuple(np.concatenate(c) for c in zip(*held, strict=True))
-            of = np.stack(cols[len(SEARCHED) :])
+            rows = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            of = np.stack(rows[len(cols) :])
             ends = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(0))
             cut = int(ends[-1]) + 1 if len(ends) else 0  # the last group may go on in the next batch
             if cut:
-                yield from links(tuple(c[:cut] for c in cols))
-            held = [tuple(c[cut:] for c in cols)]
+                yield from links(tuple(c[:cut] for c in rows))
+            held = [tuple(c[cut:] for c in rows)]
         if held and sum(len(h[0]) for h in held):
             yield from links(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    sent = rows.repartition(shuffle_parts(rows.sparkSession), *by).sortWithinPartitions(*by).select(*SEARCHED, *by)
-    return mapped(sent, search, "u long, v long")
+    return mapped(rows.select(*cols, *by), search, "u long, v long")
+
+
+def index_pairs(nodes: DataFrame, found: DataFrame, similarity: float, most: int) -> DataFrame:
+    """u, v: all pairs of nodes of different components (found: node, component) whose prints differ in `most` bits or fewer, but those that cannot have the similarity.
+
+    They are found by operator 10's hierarchical index: below the masked patterns, in Gray order.
+    """
+    masks = simhash.patterns(min(nodes.count(), PATTERNED), most)
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    own = saved(nodes.select("node", "size", "print").join(found, "node"), "indexed", "zstd")
+    rows = own.select("node", "component", "size", "print", F.explode(signed).alias("mask"))
+    bits = F.col("print").bitwiseAND(F.col("mask"))
+    rows = simhash.dealt(rows.withColumn("bits", bits), ["mask", "bits"], [c for c in INDEXED if c != "mask"], "node", GROUPED * simhash.CHUNK)
+    # what follows from other columns is not exchanged
+    rows = rows.withColumn("component", F.when(F.col("component") != F.col("node"), F.col("component"))).drop("bits")
+    sent = rows.repartition(shuffle_parts(rows.sparkSession), "mask", bits, "a", "b").withColumn("bits", bits).sortWithinPartitions("mask", "bits", "a", "b")
+    sent = sent.withColumn("component", F.coalesce("component", "node"))
+    pairs = _searched(sent, INDEXED, ["mask", "bits", "a", "b"], lambda group, cols: near_pairs(group, cols, np.array(masks, np.uint64), most, similarity))
+    of = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "parity_a", "parity_b")])
+    odd = sum((F.bit_count(F.col(f"{p}_u").bitwiseXOR(F.col(f"{p}_v"))) for p in ("parity_a", "parity_b")), F.lit(0))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    return both.filter(odd <= (1 - similarity) / (1 + similarity) * (F.col("size_u") + F.col("size_v")) + 1e-6).select("u", "v")
 
 
 def prefix_pairs(nodes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
@@ -228,7 +278,9 @@ def prefix_pairs(nodes: DataFrame, found: DataFrame, similarity: float) -> DataF
     few = own.select(*kept, F.posexplode(F.slice("keys", F.lit(1), cold)).alias("place", "key"))
     many = own.filter("hot > 0").select(*kept, cold.alias("cold"), F.posexplode(F.slice("keys", cold + 1, F.col("hot"))).alias("place", "key"))
     many = simhash.dealt(many.withColumn("place", F.col("place") + F.col("cold")).drop("cold"), ["key"], SEARCHED, "node")
-    return _searched(few, ["key"], similarity).unionByName(_searched(many, ["key", "a", "b"], similarity))
+    sent = lambda rows, *by: rows.repartition(shuffle_parts(rows.sparkSession), *by).sortWithinPartitions(*by)
+    pairs = lambda group, cols: cross_pairs(group, cols, similarity)
+    return _searched(sent(few, "key"), SEARCHED, ["key"], pairs).unionByName(_searched(sent(many, "key", "a", "b"), SEARCHED, ["key", "a", "b"], pairs))
 
 
 def similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -277,10 +329,10 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMI
     nodes = described(rows, words, similarity)
     near = neighbour_links(nodes, radius(similarity)).unionByName(star_pairs(nodes, similarity))
     links = similar(rows, nodes, near, words, similarity)
-    found = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    more = similar(rows, nodes, prefix_pairs(nodes, found, similarity), words, similarity)
-    last = components(links.unionByName(more))
-    return nodes.select("node", "first").join(last, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    joined = lambda: nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    links = links.unionByName(similar(rows, nodes, index_pairs(nodes, joined(), similarity, radius(similarity)), words, similarity))
+    links = links.unionByName(similar(rows, nodes, prefix_pairs(nodes, joined(), similarity), words, similarity))
+    return nodes.select("node", "first").join(joined(), "node")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

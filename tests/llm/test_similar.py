@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestock.llm import similar
+from lodestock.llm import simhash, similar
 from lodestock.llm.similar import cross_pairs, one_of_each, prefix, radius, shingle_sets, similar_groups
 from tests.llm.test_simhash import slow_print
 
@@ -133,3 +133,39 @@ def test_prefixes_of_similar_sets_meet():
 def test_shingle_sets():
     got = list(shingle_sets(["", "a b", "a b c d e", "a b c d e f", "q q q q q q q"], 5))
     assert [len(s) for s in got] == [0, 1, 1, 2, 1]
+
+
+def test_the_index_finds_all_pairs_within_the_radius(spark, monkeypatch):
+    """Without stars and prefixes, groups are those of similar pairs whose fingerprints differ in the radius or less: neighbours in Gray order alone miss some."""
+    monkeypatch.setattr("lodestock.llm.simhash.CHUNK", 8)
+    monkeypatch.setattr(similar, "GROUPED", 2, raising=False)  # so that patterns are cut into chunks
+    rng = random.Random(8)
+    texts = corpus(rng)
+    sets, prints = [set(s.tolist()) for s in shingle_sets([t or "" for t in texts], 5)], [slow_print(t or "", 5) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or (prints[i] ^ prints[j]).bit_count() <= radius(0.8) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(similar, "star_pairs", lambda *_: none)
+    monkeypatch.setattr(similar, "prefix_pairs", lambda *_: none)
+    least = {}
+    for r in similar_groups(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect():
+        least.setdefault(r.component, []).append(r.first)
+    assert sorted(map(min, least.values())) == sorted(set(label))
+
+
+def test_near_pairs_are_given_once():
+    rng = random.Random(3)
+    masks, bases = np.array(simhash.patterns(1 << 18, 10), np.uint64), [rng.getrandbits(64) for _ in range(8)]
+    prints = [rng.choice(bases) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for _ in range(150)]
+    size, component = [rng.choice([50, 60, 70]) for _ in prints], [-rng.randrange(60) for _ in prints]
+    rows = sorted((m, p & m, k) for k, p in enumerate(prints) for m in masks.tolist())
+    group = np.cumsum([0, *(a[:2] != b[:2] for a, b in zip(rows, rows[1:]))])
+    node = np.array([k for _, _, k in rows])
+    cols = [node, np.array(component)[node], np.array(size)[node], np.array(prints, np.uint64).view(np.int64)[node], np.array([m for m, _, _ in rows], np.uint64).view(np.int64)]
+    got = [(u, v) for us, vs in similar.near_pairs(group, cols, masks, 10, 0.8, step=500) for u, v in zip(us.tolist(), vs.tolist(), strict=True)]
+    near = [(i, j) for j in range(150) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 10 and component[i] != component[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])]
+    assert len(masks) == 66 and len(near) > 300 and sorted(got) == sorted(near)
