@@ -11,9 +11,9 @@ searched in three rounds, and what is similar is merged after each. First, neigh
 each shingle that many sets have a star from the set with the fewest rare shingles, which of a group of copies
 is the one most like all. Then, of what these have not joined, every pair that the index finds. Last, of what
 is not joined yet, every pair whose prefixes meet. So a group of copies is not compared pair by pair. Bounds
-that no similar pair passes thin the pairs at once: sizes, the parities of hashed counts and, where prefixes
-meet, what can still be shared from there on. All candidates are then thinned by bucket counts, which drop no
-similar pair either, and checked on the whole sets.
+that every similar pair keeps thin the pairs where they are found, before they are rows of a table: sizes, the
+parities of hashed counts and, where prefixes meet, what can still be shared from there on. All candidates are
+then thinned by bucket counts, which drop no similar pair either, and checked on the whole sets.
 
 Cases: texts with fewer words than a shingle have the whole sequence as one; null, empty and blank texts are
 one node without shingles; rows with a null doc_id are no one's copy; rows of one doc_id with different texts
@@ -41,6 +41,8 @@ WORDS, SIMILARITY = 5, 0.8
 BUCKETS, COUNTED, COMMON = 512, 24, 300_000
 #: Nodes up to which their ids are broadcast (some tens of bytes each); beyond it they are joined by a shuffle.
 LISTED = 500_000
+#: The columns of parities and of half_parities.
+PARITIES = ["parity_a", "parity_b", "half_a", "half_b"]
 #: Pairs that a search holds before it hands them on.
 HELD = 1 << 19
 
@@ -75,6 +77,19 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def half_parities(hashes: np.ndarray) -> np.ndarray:
+    """The parities of the hashes with one more bit set, by which each bucket of parities is cut into two."""
+    return parities(hashes[(hashes >> np.uint64(40)) & np.uint64(1) == 1])
+
+
+def uncommon(parity: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many hashes the sets of rows i and j have not in common, at least. parity: the columns of parities, and those of half_parities if there are any."""
+    apart = [(p[i] ^ p[j]).view(np.uint64) for p in parity]
+    whole, halves = apart[:2], apart[2:]
+    rest = [a ^ h for a, h in zip(whole, halves, strict=True)] if halves else whole
+    return sum((np.bitwise_count(a).astype(np.int64) for a in [*rest, *halves]), np.zeros(len(i), np.int64))
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a set of which one at least is in the prefix of every set of this Jaccard similarity, rarest first, and how common each is.
 
@@ -104,7 +119,7 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def described(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """One row a node: node, doc_id (of one text), first (smallest doc_id), n, print, size, sketch, parity_a, parity_b, keys (its prefix), and how many keys are rare, common (all that are not rare) and hot."""
+    """One row a node: node, doc_id (of one text), first (smallest doc_id), n, print, size, sketch, those of PARITIES, keys (its prefix), and how many keys are rare, common (all that are not rare) and hot."""
     common, counts = common_shingles(rows, words)
     hot = simhash.CHUNK
 
@@ -119,16 +134,16 @@ def described(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                 at += many
                 key, had = prefix(own, common, counts, similarity)
                 keys.append(key.view(np.int64))
-                out.append((set_key(own), len(own), sketch(own), *parities(own).tolist(), int((had == 0).sum()), int((had > 0).sum()), int((had * COUNTED * 2 > hot).sum())))
-            node, size, sketches, first, second, rare, shared, burning = zip(*out, strict=True)
+                out.append((set_key(own), len(own), sketch(own), *parities(own).tolist(), *half_parities(own).tolist(), int((had == 0).sum()), int((had > 0).sum()), int((had * COUNTED * 2 > hot).sum())))
+            node, size, sketches, *odd, rare, shared, burning = zip(*out, strict=True)
             ends = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(k) for k in keys], out=ends[1:])
             yield pa.RecordBatch.from_pydict({
-                "row": batch.column(2), "doc_id": batch.column(0), "node": pa.array(node, pa.int64()), "print": pa.array(prints), "size": pa.array(size, pa.int32()), "sketch": pa.array(sketches, pa.binary()), "parity_a": pa.array(first, pa.int64()), "parity_b": pa.array(second, pa.int64()),
+                "row": batch.column(2), "doc_id": batch.column(0), "node": pa.array(node, pa.int64()), "print": pa.array(prints), "size": pa.array(size, pa.int32()), "sketch": pa.array(sketches, pa.binary()), **{name: pa.array(p, pa.int64()) for name, p in zip(PARITIES, odd, strict=True)},
                 "rare": pa.array(rare, pa.int32()), "common": pa.array(shared, pa.int32()), "hot": pa.array(burning, pa.int32()), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
             })
 
-    schema = "row long, doc_id long, node long, print long, size int, sketch binary, parity_a long, parity_b long, rare int, common int, hot int, keys array<long>"
+    schema = f"row long, doc_id long, node long, print long, size int, sketch binary, {', '.join(f'{p} long' for p in PARITIES)}, rare int, common int, hot int, keys array<long>"
     every = saved(mapped(rows.withColumn("row", F.monotonically_increasing_id()), describe, schema), "described", "zstd")
     one = every.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n")).select("row", "first", "n")
     return saved(every.join(one, "row").drop("row"), "nodes", "zstd")
@@ -147,8 +162,8 @@ def star_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 #: What a row of a search has beside its keys, by prefixes and by the index.
-SEARCHED = ["node", "component", "size", "place", "parity_a", "parity_b"]
-INDEXED = ["node", "component", "size", "print", "mask"]
+SEARCHED = ["node", "component", "size", "place", *PARITIES]
+INDEXED = ["node", "component", "size", "print", "mask", *PARITIES]
 #: Nodes up to which the index's patterns grow in number; beyond, what lies below a pattern grows. It is cut into chunks of GROUPED * simhash.CHUNK.
 PATTERNED, GROUPED = 1 << 18, 16
 
@@ -165,7 +180,7 @@ def cross_pairs(group: np.ndarray, cols: list[np.ndarray], similarity: float) ->
     order = keep[np.lexsort((cols[2][keep], group[keep]))]
     group = group[order]
     node, component, size, place, *parity = (c[order] for c in cols)
-    left, parity = size - place, [p.view(np.uint64) for p in parity]
+    left = size - place
     end, rows, d = np.searchsorted(group, group, "right"), np.arange(len(group)), 1
     held: list[np.ndarray] = []
 
@@ -182,8 +197,7 @@ def cross_pairs(group: np.ndarray, cols: list[np.ndarray], similarity: float) ->
         i = rows[component[rows] != component[rows + d]]
         both = size[i] + size[i + d]
         i = i[np.minimum(left[i], left[i + d]) >= similarity / (1 + similarity) * both - 1e-6]
-        apart = sum(np.bitwise_count(p[i] ^ p[i + d]).astype(np.int64) for p in parity)
-        i = i[apart <= (1 - similarity) / (1 + similarity) * (size[i] + size[i + d]) + 1e-6]
+        i = i[uncommon(parity, i, i + d) <= (1 - similarity) / (1 + similarity) * (size[i] + size[i + d]) + 1e-6]
         if len(i):
             held.append(np.stack([np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])]))
         if sum(h.shape[1] for h in held) >= HELD:
@@ -194,14 +208,15 @@ def cross_pairs(group: np.ndarray, cols: list[np.ndarray], similarity: float) ->
 
 
 def near_pairs(group: np.ndarray, cols: list[np.ndarray], masks: np.ndarray, most: int, similarity: float, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of nodes of a group, of different components, whose prints differ in `most` bits or fewer and whose sizes allow the similarity; some `step` comparisons at a time.
+    """The pairs of nodes of a group, of different components, whose prints differ in `most` bits or fewer and whose sizes and parities allow the similarity; some `step` comparisons at a time.
 
-    cols are those INDEXED. A group lies below one mask; a pair is given below the first of the masks under which its prints agree.
+    cols are those INDEXED (without parities these rule out nothing). A group lies below one mask; a pair is given below the first of the masks under which its prints agree.
     """
     index = simhash.GrayIndex(group, cols[3].view(np.uint64))
     order = np.argsort(masks)
     nth = order[np.searchsorted(masks[order], cols[4].view(np.uint64))][index.order]
     node, component, size = (c[index.order] for c in cols[:3])
+    parity = [c[index.order] for c in cols[5:]]
     same = np.unique(component, return_inverse=True)[1]
     uniform, cost, at = index.uniform(same), np.cumsum(np.bincount(index.roots)[index.roots]), 0
     while at < len(node):
@@ -211,6 +226,8 @@ def near_pairs(group: np.ndarray, cols: list[np.ndarray], masks: np.ndarray, mos
         differ, keep = index.prints[i] ^ index.prints[j], np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
         for k, mask in enumerate(masks):
             keep &= ((differ & mask) != 0) | (nth[i] <= k)
+        i, j = i[keep], j[keep]
+        keep = uncommon(parity, i, j) <= (1 - similarity) / (1 + similarity) * (size[i] + size[j]) + 1e-6
         if keep.any():
             u, v = node[i[keep]], node[j[keep]]
             yield np.minimum(u, v), np.maximum(u, v)
@@ -248,23 +265,21 @@ def _searched(rows: DataFrame, cols: list[str], by: list[str], pairs: Callable[[
 def index_pairs(nodes: DataFrame, found: DataFrame, similarity: float, most: int) -> DataFrame:
     """u, v: all pairs of nodes of different components (found: node, component) whose prints differ in `most` bits or fewer, but those that cannot have the similarity.
 
-    They are found by operator 10's hierarchical index: below the masked patterns, in Gray order.
+    They are found by operator 10's hierarchical index: below the masked patterns, in Gray order. Near a large group
+    of copies many prints are close to all of the group's and few of the texts are similar, so the rows of the search
+    carry what rules a pair out: such pairs are never rows of a table.
     """
     masks = simhash.patterns(min(nodes.count(), PATTERNED), most)
     signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
-    own = saved(nodes.select("node", "size", "print").join(found, "node"), "indexed", "zstd")
-    rows = own.select("node", "component", "size", "print", F.explode(signed).alias("mask"))
+    own = saved(nodes.select("node", "size", "print", *PARITIES).join(found, "node"), "indexed", "zstd")
+    rows = own.select("node", "component", "size", "print", *PARITIES, F.explode(signed).alias("mask"))
     bits = F.col("print").bitwiseAND(F.col("mask"))
     rows = simhash.dealt(rows.withColumn("bits", bits), ["mask", "bits"], [c for c in INDEXED if c != "mask"], "node", GROUPED * simhash.CHUNK)
     # what follows from other columns is not exchanged
     rows = rows.withColumn("component", F.when(F.col("component") != F.col("node"), F.col("component"))).drop("bits")
     sent = rows.repartition(shuffle_parts(rows.sparkSession), "mask", bits, "a", "b").withColumn("bits", bits).sortWithinPartitions("mask", "bits", "a", "b")
     sent = sent.withColumn("component", F.coalesce("component", "node"))
-    pairs = _searched(sent, INDEXED, ["mask", "bits", "a", "b"], lambda group, cols: near_pairs(group, cols, np.array(masks, np.uint64), most, similarity))
-    of = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "parity_a", "parity_b")])
-    odd = sum((F.bit_count(F.col(f"{p}_u").bitwiseXOR(F.col(f"{p}_v"))) for p in ("parity_a", "parity_b")), F.lit(0))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    return both.filter(odd <= (1 - similarity) / (1 + similarity) * (F.col("size_u") + F.col("size_v")) + 1e-6).select("u", "v")
+    return _searched(sent, INDEXED, ["mask", "bits", "a", "b"], lambda group, cols: near_pairs(group, cols, np.array(masks, np.uint64), most, similarity))
 
 
 def prefix_pairs(nodes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
@@ -272,7 +287,7 @@ def prefix_pairs(nodes: DataFrame, found: DataFrame, similarity: float) -> DataF
 
     Keys that many sets have, by the count of a sample, are cut into chunks (see simhash.dealt); others are few rows each.
     """
-    own = saved(nodes.select("node", "size", "parity_a", "parity_b", "hot", "keys").join(found, "node"), "prefixes", "zstd")
+    own = saved(nodes.select("node", "size", *PARITIES, "hot", "keys").join(found, "node"), "prefixes", "zstd")
     cold = F.size("keys") - F.col("hot")
     kept = [c for c in SEARCHED if c != "place"]
     few = own.select(*kept, F.posexplode(F.slice("keys", F.lit(1), cold)).alias("place", "key"))

@@ -169,3 +169,40 @@ def test_near_pairs_are_given_once():
     got = [(u, v) for us, vs in similar.near_pairs(group, cols, masks, 10, 0.8, step=500) for u, v in zip(us.tolist(), vs.tolist(), strict=True)]
     near = [(i, j) for j in range(150) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 10 and component[i] != component[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])]
     assert len(masks) == 66 and len(near) > 300 and sorted(got) == sorted(near)
+
+
+def test_pairs_that_parities_rule_out_do_not_leave_the_index():
+    """Around a group of copies many prints are near and few sets are similar: the pairs given are those that can be, and all that are."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(60) for _ in range(150)]
+    sets = [np.array(sorted([*rng.sample(base, 150 - e), *(rng.getrandbits(60) for _ in range(e))]), np.uint64) for e in [5] * 60 + [35] * 60]
+    node, n = np.arange(len(sets)), len(sets)
+    words = np.array([[*similar.parities(s), *similar.half_parities(s)] for s in sets])
+    cols = [node, node, np.array([len(s) for s in sets]), np.zeros(n, np.int64), np.zeros(n, np.int64), *words.T]
+    got = [(u, v) for us, vs in similar.near_pairs(np.zeros(n, np.int64), cols, np.zeros(1, np.uint64), 10, 0.8) for u, v in zip(us.tolist(), vs.tolist(), strict=True)]
+    shared = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(n) for i in range(j)}
+    alike = {p for p, both in shared.items() if both >= 0.8 * (300 - both)}
+    assert alike == set(got) & alike and len(got) < len(alike) + 0.05 * n * n / 2 and len(alike) < 0.3 * n * n / 2
+    i, j = (np.array(x) for x in zip(*shared, strict=True))
+    assert (similar.uncommon(list(words.T), i, j) <= 300 - 2 * np.array(list(shared.values()))).all()
+
+
+def test_rows_of_the_index_search_around_a_group_of_copies(spark, monkeypatch):
+    """Texts near a group of copies and not similar to it: no table holds their pairs with the whole group."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = [edited(rng, base, rng.sample(range(150), e)) for e in [1] * 80 + [6] * 80]
+    made, search = [], similar._searched
+
+    def counted(*args):
+        rows = similar.saved(search(*args), "counted")
+        made.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(similar, "_searched", counted)
+    label, _ = slow_groups(texts)
+    least = {}
+    for r in similar_groups(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect():
+        least.setdefault(r.component, []).append(r.first)
+    assert sorted(map(min, least.values())) == sorted(set(label)) and len(least) > 40
+    assert made[0] < 2 * len(texts), made
