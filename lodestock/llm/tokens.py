@@ -9,6 +9,7 @@ any other text, and any that holds the string of an added token, goes to the tok
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ SPACE = "\\t-\\r \u0085 "
 SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
 
 OTHER = re.compile("[^\\x00-įı-ſ]|[\\x1c-\\x1f]")
+#: A cut of letters alone, which is one piece.
+LETTERS = f"\\A[{LETTER}]+\\z"
 WORDS = re.compile(f"{SUFFIX}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 BYTES = re.compile(f"{SUFFIX}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
@@ -70,8 +73,12 @@ class Ids:
 
     def _piece(self, piece: str) -> bytes:
         """A piece is one word to the model, which needs no more than its merges."""
-        word = piece.encode().decode("latin-1").translate(self.letters)
-        return np.fromiter((t.id for t in self.model.tokenize(word)), "<u4").tobytes()
+        if piece.isascii() and piece.isprintable():  # of these only the space is written otherwise
+            word = piece.replace(" ", self.letters[0x20])
+        else:
+            word = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, text: str) -> bytes:
         if OTHER.search(text) or any(a in text for a in self.added):
@@ -86,7 +93,8 @@ class Ids:
 
         Texts are cut before single spaces, where no piece of either vocabulary's goes on, and equal
         cuts are encoded once a batch. Byte-level pieces may span two spaces or more, so texts with
-        such runs are not cut there, nor are texts that hold the string of an added token.
+        such runs are not cut there, nor are texts that hold the string of an added token. What a cut
+        holds is asked of all of a batch's at once, and one of letters alone is looked up as it is.
         """
         texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
         whole = pc.match_substring_regex(texts, "|".join([*map(re.escape, self.added), *([] if self.lower else ["  "])]) or "$.")
@@ -101,15 +109,20 @@ class Ids:
         first = first - first[0]
         coded = words.dictionary_encode()
         kinds = np.asarray(coded.indices)
+        other, letters = (pc.match_substring_regex(coded.dictionary, p).to_numpy(zero_copy_only=False) for p in ("|".join([OTHER.pattern, *map(re.escape, self.added)]), LETTERS))
+        how = np.where(other, 2, letters)
         if not self.lower and len(kinds):  # all but a text's first cut begin with the space they were cut at
             kinds = kinds * 2 + 1
             kinds[first[:-1]] -= 1
             used, kinds = np.unique(kinds, return_inverse=True)
             names = coded.dictionary.to_pylist()
             names = [(" " if k & 1 else "") + names[k >> 1] for k in used.tolist()]
+            how = how[used >> 1]
         else:
             names = coded.dictionary.to_pylist()
-        ids = list(map(self._ids, names))
+        piece, split = self.pieces.__getitem__, self.split
+        lower = map(str.lower, names) if self.lower else names
+        ids = [piece(low) if h == 1 else self._ids(name) if h else b"".join(map(piece, split(low))) for name, low, h in zip(names, lower, how.tolist(), strict=True)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         pool = np.frombuffer(b"".join(ids), "<u4")
         at = np.zeros(len(ids) + 1, np.int64)

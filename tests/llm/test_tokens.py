@@ -139,3 +139,18 @@ def test_packed_table_pads_as_little_as_the_rule(spark):
     for r in got:
         full[r.sequence_id] = full.get(r.sequence_id, 0) + r.length
     assert sorted(full.values()) == slow_packing(histogram, 64)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_cuts_are_looked_at_together(name, monkeypatch):
+    """Only cuts that need the tokenizer go through _ids one at a time; the ids are the library's for all of them."""
+    path = public_tokenizers.path(name)
+    plain, own, asked = Tokenizer.from_file(path), Ids(path), []
+    one_by_one = Ids._ids
+    monkeypatch.setattr(Ids, "_ids", lambda self, text: asked.append(text.strip()) or one_by_one(self, text))
+    signs = [f"{a}{chr(c)}{b}" for c in range(1, 0x180) if chr(c) not in " " for a, b in (("", ""), ("Ab", "cD"), ("Z", "'s"))]
+    texts = ["The thedthshha, Éeauouon it's x9 ###", " ".join(signs), *signs, "ÀÉ İstanbul 日本 word\n", None]
+    flat, at = own.batch(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert flat[at[k] : at[k + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+    assert {"İstanbul", "日本"} <= set(asked) and not {"The", "it's", "thedthshha,", "Éeauouon", "###", "ÀÉ"} & set(asked)
