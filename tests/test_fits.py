@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import lodestock.operators.mixed as mx
 from lodestock.operators import chains as ch
 from lodestock.operators import checks, selection
-from lodestock.operators.likelihood import Likelihood, dense_neg2logl
+from lodestock.operators.likelihood import LevelLikelihood, Likelihood, dense_neg2logl, likelihood
 from lodestock.operators.pedigree import Family
 from lodestock.plans import design as ds
 from lodestock.plans.formula import parse
@@ -311,3 +311,51 @@ def test_simulated_genotypes_follow_the_pedigree(spark):
 def test_worst_levels(spark):
     draws = spark.createDataFrame([(c, i, f"p{k}", float((i * 7 % 5) + c * k)) for c in range(3) for i in range(40) for k in range(4)], "chain int, iteration int, parameter string, value double")
     assert [r.parameter for r in ch.worst_levels(draws, 2).collect()] == ["p3", "p2"]
+
+
+@pytest.mark.parametrize("formula, more", [
+    ("y ~ c + cov(x) + random(id)", {}),
+    ("y ~ c + cov(x) + random(id)", {"weights": "w"}),
+    ("y ~ c + random(r) + random(id)", {"residual_by": "r"}),
+    ("cbind(y, z) ~ c + cov(x, traits='z') + random(id) + random(r, traits='y')", {}),
+    ("cbind(y, z) ~ c + random(id, base=c(one, x))", {}),
+    ("cbind(y, z) ~ c + random(id, traits='z')", {}),
+])
+def test_levels_eliminated_one_by_one_give_what_the_square_matrix_gives(spark, formula, more, monkeypatch):
+    df = records(spark, 80)[0].withColumn("id", F.concat("id", F.substring(F.col("w").cast("string"), 4, 1))).withColumn("one", F.lit(1.0))
+    f = parse(formula)
+    cells = ds.cells_of(df, f, **more)
+    apart, whole = ds.laid_out(cells, f), ds.laid_out(cells, f)
+    g = cells.apart(f, 100)
+    assert f.groups and list(f.groups)[g] == "id"
+    monkeypatch.setattr(ds, "DRIVER_CELLS", 20)  # in parts
+    ds.level_statistics(apart, g)
+    monkeypatch.undo()
+    ds.statistics(whole)
+    none = [None] * len(whole.groups)
+    a, b = likelihood(apart, none), likelihood(whole, none)
+    assert isinstance(a, LevelLikelihood) and a.names == b.names
+    at = b.start() * np.linspace(0.8, 1.3, len(b.names))
+    at = np.where(at == 0, 0.05 * at.max() * np.linspace(0.5, 1, len(at)), at)
+    x, y = a.evaluate(at), b.evaluate(at)
+    assert a.value(at) == pytest.approx(b.value(at), abs=1e-8) and x.neg2logl == pytest.approx(y.neg2logl, abs=1e-8)
+    for name in ("score", "information", "solution", "em"):
+        assert np.allclose(getattr(x, name), getattr(y, name), atol=1e-8, rtol=1e-8), name
+    got = np.asarray(x.inverse)
+    held = np.isfinite(got)
+    assert np.allclose(got[held], y.inverse[held], atol=1e-10) and np.allclose(x.inverse.diagonal(), np.diag(y.inverse), atol=1e-10)
+
+
+def test_components_of_many_levels_need_no_square_matrix(spark, monkeypatch):
+    df, rows = records(spark, 120)
+    df = df.withColumn("g", F.concat("id", F.substring(F.col("w").cast("string"), 4, 1)))
+    want, share = mx.model("y ~ c + cov(x) + random(g)", df).theta, mx.model("y ~ random(g)", df, start={"var(g)": 1.0, "var(residual)": 2.0}, most=0)
+    assert mx.h2(share) == pytest.approx(1 / 3)
+    monkeypatch.setattr(mx, "DRIVER_COLUMNS", 8)
+    monkeypatch.setattr(ds, "DRIVER_COLUMNS", 8)
+    fit = mx.model("y ~ c + cov(x) + random(g)", df)
+    assert len(fit.design.groups[0].levels) > 8 and fit.theta == pytest.approx(want)
+    again = mx.model("y ~ random(g)", df, start={"var(g)": 1.0, "var(residual)": 2.0}, most=0)
+    assert mx.h2(again) == pytest.approx(1 / 3)
+    for name in ("ebv", "acc"):
+        assert {r.id: r[name] for r in mx.solutions(again).collect()} == pytest.approx({r.id: r[name] for r in mx.solutions(share).collect()})
