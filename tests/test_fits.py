@@ -359,3 +359,18 @@ def test_components_of_many_levels_need_no_square_matrix(spark, monkeypatch):
     assert mx.h2(again) == pytest.approx(1 / 3)
     for name in ("ebv", "acc"):
         assert {r.id: r[name] for r in mx.solutions(again).collect()} == pytest.approx({r.id: r[name] for r in mx.solutions(share).collect()})
+
+
+def test_draws_of_many_levels_need_no_square_matrix(spark, monkeypatch):
+    """The chain keeps no matrix of levels by levels, and its draws have the means and variances of the equations' solution."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"g{k % 30}", float(rng.normal() + k % 30 / 10)) for k in range(150)], "g string, y double")
+    monkeypatch.setattr(Likelihood, "equations", lambda *a: pytest.fail("square"))
+    theta = {"var(g)": 0.5, "var(residual)": 1.0}
+    draws = ch.gibbs("y ~ random(g)", df, n_iter=4000, burnin=0, thin=1, chains=1, theta=theta)
+    got = {r.parameter: (r.m, r.v) for r in draws.groupBy("parameter").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v")).collect()}
+    fit = mx.model("y ~ random(g)", df, start=theta, most=0)
+    sol, pev = fit.walk.evaluation.solution, fit.walk.evaluation.inverse.diagonal()
+    for k in range(31):
+        m, v = got[f"b[{k}]"]
+        assert abs(m - sol[k]) < 5 * math.sqrt(pev[k] / 4000) and v == pytest.approx(pev[k], rel=0.15)
