@@ -3,6 +3,9 @@ import math
 import numpy as np
 import pytest
 
+import lodestock.operators.linear as la
+import lodestock.operators.mixed as mx
+import lodestock.operators.pedigree as pg
 from lodestock.operators.likelihood import dense_neg2logl
 from lodestock.operators.linear import conjugate_gradients, inv_pd, selected_inverse, sparse_cholesky, sparse_solve
 from lodestock.operators.mixed import fitted, h2, h2_curve, model, profile, se_function, solutions
@@ -195,3 +198,47 @@ def test_linear_algebra(spark):
         sparse_solve(triplets.unionByName(triplets.selectExpr("j as i", "i as j", "x")), b)
     curve = h2_curve(spark, {"a": np.eye(2), "p": np.eye(1)}, 1.0, "a", 0.0, 10.0, 3).collect()
     assert curve[1].genetic == pytest.approx(0.5) and curve[0].genetic == pytest.approx(2.0) and math.isclose(curve[1].h2, 0.5 / 2)
+
+
+def test_inbreeding_by_family_is_that_of_the_whole(spark, monkeypatch):
+    """Families in parts of two or three animals: inbred ones, half sibs, grandsires, parents without a line, lines of sires only."""
+    rows = [("1", None, None, False), ("2", None, None, False), ("3", "1", "2", False), ("4", "1", "2", False), ("5", "3", "4", False), ("6", "5", "4", False), ("7", "5", "9", True), ("9", None, None, False), ("8", "7", "3", True)]
+    rows += [("a", None, None, False), ("b", "a", None, False), ("c", "b", None, False), ("d", None, "a", False), ("e", "c", "d", False), ("f", "zz", "a", False), ("g", "f", "a", False)]
+    rows += [(f"s{k}", f"s{k // 2}" if k > 1 else None, None, False) for k in range(1, 9)]
+    ped = spark.createDataFrame(rows, "id string, sire string, dam string, via_mgs boolean")
+    fam = Family(ped)
+    monkeypatch.setattr(pg, "FAMILY_ANIMALS", 0)
+    monkeypatch.setattr(pg, "PART_ANIMALS", 3)
+    monkeypatch.setattr(pg, "DRIVER_ANIMALS", 0)
+    got = {r.id: (r.f, r.d) for r in inbreeding(ped).collect()}
+    assert set(got) == set(fam.ids) and fam.f.max() > 0.2
+    for i, f, d in zip(fam.ids, fam.f, fam.d, strict=True):
+        assert got[i] == pytest.approx((f, d), abs=1e-12), i
+    loop = spark.createDataFrame([("1", "3", None), ("2", "1", None), ("3", "2", None), ("4", "1", None)], "id string, sire string, dam string")
+    with pytest.raises(ValueError, match="cycle"):
+        inbreeding(loop)
+
+
+def test_selected_inverse_by_block_is_that_of_the_whole(spark, monkeypatch):
+    triplets = spark.createDataFrame([(f"{k}{i}", f"{k}{j}", x) for k in "pqrstu" for i, j, x in ((1, 1, 3.0 + ord(k) % 5), (2, 2, 4.0), (2, 1, 0.7), (3, 3, 5.0), (4, 3, -1.0), (4, 4, 2.0), (4, 2, 0.3))], "i string, j string, x double")
+    want = {(r.i, r.j): r.x for r in selected_inverse(triplets).collect()}
+    monkeypatch.setattr(la, "PART_ENTRIES", 5)
+    got = {(r.i, r.j): r.x for r in selected_inverse(triplets, here=3).collect()}
+    assert got == pytest.approx(want) and len(got) > 30
+
+
+def test_families_are_solved_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"o{k}", f"c{k % 7}", f"h{k % 3}", float(rng.normal()), float(rng.normal())) for k in range(60)]
+    df = spark.createDataFrame(rows, "id string, sire string, h string, x double, y double")
+    ped = spark.createDataFrame([(r[0], r[1], None) for r in rows] + [(f"c{k}", None, None) for k in range(7)], "id string, sire string, dam string")
+    formula, start = "y ~ h + cov(x) + animal(id)", {"var(animal)": 4.0, "var(residual)": 6.0}
+    small = model(formula, df, ped, start=start, most=0, checks=False)
+    for name, n in (("DRIVER_COLUMNS", 5), ("DRIVER_ENTRIES", 0)):
+        monkeypatch.setattr(mx, name, n)
+    monkeypatch.setattr(la, "PART_ENTRIES", 20)
+    monkeypatch.setattr(mx, "conjugate_gradients", lambda *a: pytest.fail("iterated"))
+    large = model(formula, df, ped, start=start, most=0, checks=False)
+    for f, key in ((solutions, "id"), (lambda fit: fit.coefficients(), "effect")):
+        value = "ebv" if key == "id" else "estimate"
+        assert {r[key]: r[value] for r in f(large).collect()} == pytest.approx({r[key]: r[value] for r in f(small).collect()}, abs=1e-9)
