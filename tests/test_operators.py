@@ -9,6 +9,7 @@ from lodestock.operators import quality as ql
 from lodestock.operators import selection as sl
 from lodestock.operators import single_step as ss
 from lodestock.operators.pedigree import Family, pedigree
+from lodestock.queries import QUERIES
 from lodestock.session import shared_folder
 from lodestock.sources import read_plink, read_snp_lines, write_plink
 from lodestock.streaming import RunningMeans
@@ -186,3 +187,43 @@ def test_gamma_says_when_it_has_not_converged(spark):
     with pytest.raises(ValueError, match="convergence"):
         ss.estimate_gamma(fam, group, geno, "em", most=2)
     assert np.abs(ss.estimate_gamma(fam, group, geno, "em", start=0.02) - full).max() < 1e-5
+
+
+def small_genotypes(spark, animals=40, markers=12, seed=3):
+    rng = np.random.default_rng(seed)
+    return spark.createDataFrame([(f"a{i}", f"m{j}", None if rng.random() < 0.05 else int(rng.integers(3))) for i in range(animals) for j in range(markers)], "id string, marker string, dosage int")
+
+
+def test_affine_coefficients_need_no_pairs_of_animals(spark, monkeypatch):
+    geno = small_genotypes(spark)
+    a22 = geno.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("x")).distinct()
+    for plain in (False, True):
+        rows, scale = gt.centred(geno, plain)
+        want = gt.affine_coefficients(gt.gram(rows, scale), a22).first()
+        assert gt.affine_of(rows, scale, a22).first() == pytest.approx(want, abs=1e-10)
+    monkeypatch.setattr(gt, "gram", lambda *a, **b: pytest.fail("pairs of animals"))
+    assert not QUERIES["affine_coef"](spark, "/root/testdata/sf0.001").isEmpty()
+
+
+def test_a_core_size_needs_no_animals_on_the_driver(spark, monkeypatch):
+    geno = small_genotypes(spark)
+    z = gt.dense(gt.centred(geno)[0])[1]
+    values = np.linalg.eigvalsh(z.T @ z)[::-1]
+    monkeypatch.setattr(ss, "dense", lambda rows: pytest.fail("all animals"))
+    core = ss.apy_core(geno, 0.9)
+    assert core.size == np.searchsorted(np.cumsum(values) / values.sum(), 0.9) + 1 and len(core.ids) == core.size
+
+
+def test_marker_regression_from_sums_of_products(spark, monkeypatch):
+    geno = small_genotypes(spark, 60)
+    rows = gt.centred(geno)[0]
+    ids, z = gt.dense(rows)
+    rng = np.random.default_rng(1)
+    y = z[:, :3].sum(1, keepdims=True) * [1.0, 0.5] + rng.normal(size=(60, 2))
+    y[::5, 1] = np.nan
+    sides = spark.createDataFrame([(i, [None if np.isnan(x) else float(x) for x in v]) for i, v in zip(ids, y, strict=True)], "id string, y array<double>")
+    want, got = ss.pegs(y, z, most=60), ss.pegs_products(*gt.cross_products(rows, sides, 2)[1:], most=60)
+    for name in want:
+        assert np.allclose(got[name], want[name], atol=1e-9), name
+    monkeypatch.setattr(gt, "dense", lambda rows: pytest.fail("all animals"))
+    assert not QUERIES["pegs_effects"](spark, "/root/testdata/sf0.001").isEmpty()
