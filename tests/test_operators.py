@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodestock.functions import canonical_label, h2_liability, h2_observed, heat_load, is_missing_label, spelling_key, thi
 from lodestock.operators import chains as ch
 from lodestock.operators import genotypes as gt
+from lodestock.operators import mixed as mx
 from lodestock.operators import quality as ql
 from lodestock.operators import selection as sl
 from lodestock.operators import single_step as ss
@@ -227,3 +228,50 @@ def test_marker_regression_from_sums_of_products(spark, monkeypatch):
         assert np.allclose(got[name], want[name], atol=1e-9), name
     monkeypatch.setattr(gt, "dense", lambda rows: pytest.fail("all animals"))
     assert not QUERIES["pegs_effects"](spark, "/root/testdata/sf0.001").isEmpty()
+
+
+def genotyped_family(spark, seed=4, n=60):
+    """All animals genotyped: founders, one known parent, both, inbred, full sibs; some without records."""
+    rng = np.random.default_rng(seed)
+    rows = [(f"a{k}", f"a{rng.integers(k)}" if k > 8 and k % 5 else None, f"a{rng.integers(k)}" if k > 12 and k % 3 else None) for k in range(n)]
+    rows += [("b1", "a0", "a1"), ("b2", "a0", "a1"), ("b3", "b1", "b2"), ("b4", "b1", "b1")]
+    ped = spark.createDataFrame(rows, "id string, sire string, dam string")
+    geno = spark.createDataFrame([(r[0], f"m{j}", None if rng.random() < 0.03 else int(rng.integers(3))) for r in rows for j in range(10)], "id string, marker string, dosage int")
+    data = spark.createDataFrame([(rows[k][0], f"h{k % 3}", float(rng.normal()), float(rng.normal())) for k in rng.integers(0, n, 120)], "id string, h string, x double, y double")
+    return ped, geno, data
+
+
+@pytest.mark.parametrize("adjust", [True, False])
+def test_genotyped_pedigrees_need_no_square_of_the_animals(spark, monkeypatch, adjust):
+    ped, geno, data = genotyped_family(spark)
+    fam = Family(ped)
+    ids, want, prior, _ = ss.h_inverse(fam, geno, 0.1, adjust=adjust, least=0)
+    start = {"var(animal)": 0.7, "var(residual)": 1.2}
+    call = lambda: ss.single_step("y ~ h + cov(x) + animal(id)", data, ped, geno, 0.1, None, adjust, 0, start=start, most=0)
+    dense_fit, dense_own = call()
+    effects = ss.marker_effects(dense_fit, dense_own)
+    monkeypatch.setattr(ss, "DENSE_ANIMALS", 10)
+    monkeypatch.setattr(ss, "blended", lambda *a: pytest.fail("a square of the animals"))
+    got = {(r.i, r.j): r.x for r in ss.h_inverse_table(spark, fam, geno, 0.1, adjust, 0, block=7).collect()}
+    assert len(got) == len(ids) * (len(ids) + 1) // 2 and all(i >= j for i, j in got)
+    place = {a: k for k, a in enumerate(ids)}
+    assert all(x == pytest.approx(want[place[i], place[j]], abs=1e-8) for (i, j), x in got.items())
+    fit, own = call()
+    assert isinstance(own, ss.LowRank) and np.allclose(own.diagonal, prior)
+    for name in ("ebv", "se", "acc"):
+        assert {r.id: r[name] for r in mx.solutions(fit).collect()} == pytest.approx({r.id: r[name] for r in mx.solutions(dense_fit).collect()}, abs=1e-7)
+    assert {r.effect: r.estimate for r in fit.coefficients().collect()} == pytest.approx({r.effect: r.estimate for r in dense_fit.coefficients().collect()}, abs=1e-8)
+    assert np.allclose(ss.marker_effects(fit, own), effects, atol=1e-8)
+
+
+def test_founder_groups_need_no_square_of_the_animals(spark, monkeypatch):
+    ped, geno, _ = genotyped_family(spark)
+    fam = Family(ped)
+    group = {a: k % 2 for k, a in enumerate(fam.ids)}
+    want = {m: ss.estimate_gamma(fam, group, geno, m, tolerance=1e-4) for m in ("gls", "em")}
+    monkeypatch.setattr(ss, "DENSE_ANIMALS", 10)
+    monkeypatch.setattr(ss, "_gamma_dense", lambda *a: pytest.fail("a square of the animals"))
+    for m, gamma in want.items():
+        assert np.allclose(ss.estimate_gamma(fam, group, geno, m, tolerance=1e-4), gamma, atol=1e-9), m
+    with pytest.raises(ValueError, match="convergence"):
+        ss.estimate_gamma(fam, group, geno, "em", most=2)
