@@ -374,3 +374,36 @@ def test_draws_of_many_levels_need_no_square_matrix(spark, monkeypatch):
     for k in range(31):
         m, v = got[f"b[{k}]"]
         assert abs(m - sol[k]) < 5 * math.sqrt(pev[k] / 4000) and v == pytest.approx(pev[k], rel=0.15)
+
+
+def test_pairs_of_blocks_are_not_sent(spark):
+    """Gram matrices read each animal's arrays from the shared folder: no exchange of the plan carries them a second time."""
+    from lodestock.operators.genotypes import gram
+
+    rows = spark.createDataFrame([(f"a{i}", f"m{j}", float(i + j)) for i in range(9) for j in range(3)], "id string, marker string, z double")
+    found = gram(rows, 2.0, block=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Generate" not in plan and found.count() == 45
+
+
+def test_normal_scores_and_moments_of_long_chains(spark, monkeypatch):
+    from statistics import NormalDist
+
+    from lodestock.operators import quality
+
+    p = np.r_[np.linspace(1e-12, 1 - 1e-12, 4001), 1e-300, 0.075, 0.925]
+    unit = NormalDist()
+    assert np.allclose(ch.normal_quantiles(p), [unit.inv_cdf(v) for v in p], rtol=1e-14, atol=1e-15)
+    x = np.random.default_rng(3).normal(size=(3, 200)).round(1)
+    flat = x.ravel()
+    rank = np.array([(flat < v).sum() + ((flat == v).sum() + 1) / 2 for v in flat])
+    assert np.allclose(ch._normal_ranks(x).ravel(), [unit.inv_cdf((r - 0.375) / (len(flat) + 0.25)) for r in rank])
+    draws = spark.createDataFrame([(c, i, "a", float(x[c, i])) for c in range(3) for i in range(200)], "chain int, iteration int, parameter string, value double")
+    monkeypatch.setattr(quality, "GATHERED", 50)
+    monkeypatch.setattr(quality, "BINS", 8)
+    want = (x.mean(), x.std(ddof=1), *np.quantile(x, (0.05, 0.95)))
+    for most in (20, 0):
+        r = ch.moments(draws, most=most).first()
+        assert (r.mean, r.sd, r.low, r.high) == pytest.approx(want)
+    r = ch.diagnostics(draws).first()
+    assert (r.mean, r.sd, r.low, r.high) == pytest.approx(want) and r.rhat == pytest.approx(ch.rhat(x)) and r.pareto_k == pytest.approx(ch.pareto_k(x))
